@@ -141,13 +141,17 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-# the columns the parser must give back, straight from the events
+# what the parser must give back, straight from the events: ``stamp`` is the time
+# written on the line, ``ts`` the final one (a broken stamp takes the date before it)
 LINES_SQL = """lines AS (
-  SELECT *, event_id % 9 AS f, CAST(user_id AS VARCHAR) AS u, CAST(event_id AS VARCHAR) AS k,
-         '/logs/R' || lpad(CAST(user_id AS VARCHAR), 10, '0') || '/run.log' AS path,
-         date_trunc('second', ts) AS sec, date_trunc('millisecond', ts) AS milli,
-         event_id % 50 = 7 AND event_id % 9 NOT IN (4, 6, 7) AS broken
-  FROM events)"""
+  SELECT *, CASE WHEN broken THEN date_trunc('day', seen) + (sec - date_trunc('day', sec)) ELSE stamp END AS ts_out FROM (
+    SELECT *, last_value(CASE WHEN NOT broken THEN stamp END IGNORE NULLS) OVER (
+      PARTITION BY path ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM (
+      SELECT *, CASE WHEN f = 7 THEN sec + INTERVAL 7 HOUR WHEN f IN (0, 6) THEN date_trunc('millisecond', ts) ELSE sec END
+          AS stamp, event_id % 50 = 7 AND f NOT IN (4, 6, 7) AS broken FROM (
+        SELECT *, event_id % 9 AS f, CAST(user_id AS VARCHAR) AS u, CAST(event_id AS VARCHAR) AS k,
+          '/logs/R' || lpad(CAST(user_id AS VARCHAR), 10, '0') || '/run.log' AS path, date_trunc('second', ts) AS sec
+        FROM events))))"""
 
 
 def with_views(sql: str) -> str:

@@ -4,52 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# One shape per way the stamps are written; each is rewritten to ISO order and
-# then goes through the engine's own cast, which yields NULL on impossible dates.
-_CLOCK = r"(?:[ T](\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?))?"
-_ZONE = r"(?: ?([+-]\d{2}):?(\d{2}))?$"
-_YEAR_FIRST = r"^(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})" + _CLOCK + _ZONE
-_MONTH_FIRST = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})" + _CLOCK + _ZONE
-_DAY_FIRST = r"^(1[3-9]|2\d|3[01])[/.\-](\d{1,2})[/.\-](\d{4})" + _CLOCK + _ZONE
-_NO_YEAR = r"^(\d{1,2})[/\-](\d{1,2})[ T](\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?)" + _ZONE
-_MONTH_NAME = r"^([A-Za-z]{3,9}) (\d{1,2}) (\d{1,2}:\d{1,2}:\d{1,2}(?:\.\d+)?)" + _ZONE
+# All ways a date is written, as one pattern whose replacement puts year, month and
+# day in ISO order (groups that took no part are empty).  Text of any other shape
+# turns into something the cast below refuses.
+_DATE = (
+    r"^(?:(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})"  # 2025-01-15
+    r"|(1[3-9]|2\d|3[01])[/.\-](\d{1,2})[/.\-](\d{4})"  # 15/01/2025
+    r"|(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})"  # 01/15/2025
+    r"|(\d{1,2})[/\-](\d{1,2})(?=[ T]\d))"  # 01/15 with a time
+    r"(?:[ T](\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?))?(?: ?([+-]\d{2}):?(\d{2}))?$|^.*$"
+)
+_ISO = "$1$6$9-$2$5$7$10-$3$4$8$11 $12$13$14"
+_ZONE = r"(\d:\d{1,2}(?:\.\d+)?)([+-]\d{2})(\d{2})$"
 _MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 _CLOCK_IN_LINE = r"(\d{1,2}):(\d{1,2}):(\d{1,2})"
 
 
-def _iso(text: Column, pattern: str, order: str) -> Column:
-    return F.regexp_replace(text, pattern, order)
+def iso_text(stamp: Column, reference_year: Column | int) -> Column:
+    """Stamp text as ``y-m-d h:m:s[zone]``; the year is filled in where it is missing."""
+    text = F.trim(F.regexp_replace(stamp, r"\s+", " "))
+    month = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.lower(F.substring(text, 1, 3)))
+    named = F.concat(month.cast("string"), F.regexp_replace(text, "^[A-Za-z]+ ", "/"))
+    numeric = F.when(text.rlike(r"^[A-Za-z]{3,9} \d"), named).otherwise(text)
+    year = reference_year if isinstance(reference_year, Column) else F.lit(reference_year)
+    return F.regexp_replace(F.regexp_replace(numeric, _DATE, _ISO), F.lit("^-"), F.concat(year.cast("string"), F.lit("-")))
 
 
-def _cast(iso: Column) -> Column:
-    """``date|clock|zone`` to an instant; a missing clock is midnight, a missing zone UTC."""
-    parts = F.split(iso, r"\|")
-    clock = F.when(parts[1] == "", F.lit("00:00:00")).otherwise(parts[1])
-    clock = F.when(clock.rlike(r"^\d+:\d+$"), F.concat(clock, F.lit(":00"))).otherwise(clock)
-    zone = F.when(parts[2] == ":", F.lit("Z")).otherwise(parts[2])
-    return F.concat(parts[0], F.lit(" "), clock, zone).try_cast("timestamp")
+def instant(iso: Column) -> Column:
+    """ISO text to an instant: naive is UTC, no clock is midnight, impossible is NULL."""
+    return F.coalesce(
+        F.concat(iso, F.lit("Z")).try_cast("timestamp"),
+        F.concat(iso, F.lit("00:00:00Z")).try_cast("timestamp"),
+        F.concat(iso, F.lit(":00Z")).try_cast("timestamp"),
+        F.when(iso.rlike(_ZONE), F.regexp_replace(iso, _ZONE, "$1$2:$3").try_cast("timestamp")),
+    )
 
 
 def to_utc(stamp: Column, reference_year: Column | int) -> Column:
-    """Stamp text to an instant.  Naive stamps are UTC, a trailing ``-HHMM`` is
-    honoured, stamps without a year take ``reference_year``, anything else is NULL."""
-    text = F.trim(F.regexp_replace(stamp, r"\s+", " "))
-    year = reference_year if isinstance(reference_year, Column) else F.lit(reference_year)
-    year = F.concat(year.cast("string"), F.lit("-"))
-    tail = r"|$4|$5:$6"
-    name = F.lower(F.substring(text, 1, 3))
-    month = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), name)
-    iso = (
-        F.when(text.rlike(_YEAR_FIRST), _iso(text, _YEAR_FIRST, "$1-$2-$3" + tail))
-        .when(text.rlike(_DAY_FIRST), _iso(text, _DAY_FIRST, "$3-$2-$1" + tail))
-        .when(text.rlike(_MONTH_FIRST), _iso(text, _MONTH_FIRST, "$3-$1-$2" + tail))
-        .when(text.rlike(_NO_YEAR), F.concat(year, _iso(text, _NO_YEAR, "$1-$2|$3|$4:$5")))
-        .when(
-            text.rlike(_MONTH_NAME) & (month > 0),
-            F.concat(year, month.cast("string"), _iso(text, _MONTH_NAME, "-$2|$3|$4:$5")),
-        )
-    )
-    return _cast(iso)
+    """Stamp text to an instant.  A trailing ``-HHMM`` is honoured, stamps without a
+    year take ``reference_year``, anything that is no date is NULL."""
+    return instant(iso_text(stamp, reference_year))
 
 
 def clock_micros(line: Column) -> Column:

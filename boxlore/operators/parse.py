@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from boxlore.functions import fixed_values as fixed
 from boxlore.functions.message_fields import details_map, epg_event
 from boxlore.functions.text import split_groups
-from boxlore.functions.timestamps import clock_micros, to_utc
-from boxlore.plans.ordered import SEGMENT, last_before, running_count
+from boxlore.functions.timestamps import clock_micros, instant, iso_text, to_utc
+from boxlore.plans.ordered import SEGMENT, running_count
 
 Rules = dict[str, tuple[str, list[str]]]
 
@@ -55,24 +55,37 @@ def _group(rules: Rules, column: str) -> Column:
 def _carry(df: DataFrame) -> DataFrame:
     """Give lines whose stamp could not be read the date of the stamp before them.
 
-    A carried date never changes what later lines carry, so two passes do: the
-    last date, then the last stamp.  Lines of a large file come with segments."""
-    clock = clock_micros(F.col("line"))
-    if SEGMENT in df.columns:
-        dated = last_before(df, ["path"], ["line_no"], "_read", "_date")
-    else:
-        before = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-        dated = df.withColumn("_date", F.last("_read", True).over(before))
-    midnight = F.date_trunc("day", "_date")
-    own = F.coalesce(F.col("_read"), F.timestamp_micros(F.unix_micros(midnight) + clock))
-    dated = dated.withColumn("_own", own)
-    if SEGMENT in df.columns:
-        filled = last_before(dated, ["path"], ["line_no"], "_own", "_previous")
-    else:
-        filled = dated.withColumn("_previous", F.last("_own", True).over(before))
-    return filled.withColumn("timestamp", F.coalesce("_own", "_previous")).withColumn(
-        "timestamp_imputed", F.col("_read").isNull()
+    A carried date never changes what later lines carry, so two windows do: the
+    last date, then the last stamp.  Lines of a large file come in segments; one
+    summary row per segment brings both into the next ones."""
+    segmented = SEGMENT in df.columns
+    keys = ["path", SEGMENT] if segmented else ["path"]
+    before = W.partitionBy(*keys).orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
+    df = df.withColumn("_date", F.last("_read", True).over(before)).withColumn("_clock", clock_micros(F.col("line")))
+    on_day = lambda date, clock: F.timestamp_micros(F.unix_micros(F.date_trunc("day", date)) + clock)
+    if segmented:
+        df = df.join(_segment_ends(df, on_day), keys).withColumn("_date", F.coalesce("_date", "_carried_date"))
+    df = df.withColumn("_own", F.coalesce("_read", on_day(F.col("_date"), F.col("_clock"))))
+    previous = F.last("_own", True).over(before)
+    if segmented:
+        previous = F.coalesce(previous, "_carried_stamp")
+    return df.withColumn("_previous", previous).withColumns({
+        "timestamp": F.coalesce("_own", "_previous"), "timestamp_imputed": F.col("_read").isNull(),
+    })
+
+
+def _segment_ends(df: DataFrame, on_day) -> DataFrame:
+    """Per segment the last date and the last stamp of the segments before it."""
+    read, timed = F.col("_read").isNotNull(), F.col("_read").isNotNull() | F.col("_clock").isNotNull()
+    ends = df.groupBy("path", SEGMENT).agg(
+        F.max_by("_read", F.when(read, F.col("line_no"))).alias("_end_read"),
+        F.max_by(F.struct("_read", "_date", "_clock"), F.when(timed, F.col("line_no"))).alias("_end"),
     )
+    before = W.partitionBy("path").orderBy(SEGMENT).rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.withColumn("_carried_date", F.last("_end_read", True).over(before))
+    stamp = F.coalesce("_end._read", on_day(F.coalesce("_end._date", "_carried_date"), F.col("_end._clock")))
+    ends = ends.withColumn("_stamp", stamp).withColumn("_carried_stamp", F.last("_stamp", True).over(before))
+    return ends.select("path", SEGMENT, "_carried_date", "_carried_stamp")
 
 
 def parse_lines(lines: DataFrame, reference_year: int, rules: Rules | None = None) -> DataFrame:
@@ -88,7 +101,8 @@ def parse_lines(lines: DataFrame, reference_year: int, rules: Rules | None = Non
     stamp = F.concat_ws(".", "stamp", "stamp_ms") if "stamp_ms" in names else F.col("stamp")
     if "timezone_offset" in names:
         stamp = F.concat_ws(" ", stamp, "timezone_offset")
-    df = _carry(df.withColumn("_read", F.when(F.col("pattern").isNotNull(), to_utc(stamp, reference_year))))
+    df = df.withColumn("_iso", iso_text(stamp, reference_year))
+    df = _carry(df.withColumn("_read", F.when(F.col("pattern").isNotNull(), instant(F.col("_iso")))))
     df = df.where(F.col("pattern").isNotNull() & F.col("timestamp").isNotNull())
     if "details_text" in names:
         df = df.withColumn("details", details_map(F.col("details_text"))).withColumn(
