@@ -11,6 +11,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from boxlore.plans.ordered import SEGMENT, ranked_blocks, time_slice
+from boxlore.session import cut_lineage
 
 SEQUENCE = 16
 
@@ -137,23 +138,45 @@ def sequences(df: DataFrame, length: int = SEQUENCE, keys: list[str] = ["rxid"])
 
 
 def _finish_sequences(errors: DataFrame, keys: list[str]) -> DataFrame:
-    scored = min_max(errors, "_error", keys, "seq_score").drop("_error")
-    scored = add_threshold(scored, "seq_score", keys, "seq_threshold", "seq_is_anomaly")
-    return scored.withColumn(
+    """Scale errors to 0..1, set the threshold and the severity.
+
+    Scaling is linear, so the threshold of the scaled errors follows from one
+    set of statistics of the raw ones."""
+    out = _with_stats(errors, keys, {
+        "_low": F.min("_error"), "_high": F.max("_error"), "_mean": F.avg("_error"), "_dev": F.stddev_pop("_error"),
+    })
+    low, span = F.col("_low"), F.col("_high") - F.col("_low")
+    raw = F.col("_mean") + 2 * F.col("_dev")
+    out = out.withColumns({
+        "seq_score": F.when(span > 0, (F.col("_error") - low) / span).otherwise(F.col("_error")),
+        "seq_threshold": F.when(span > 0, (raw - low) / span).otherwise(raw),
+    }).drop("_error", "_low", "_high", "_mean", "_dev")
+    flag = F.col("seq_score") > F.col("seq_threshold")
+    return out.withColumn("seq_is_anomaly", flag).withColumn(
         "seq_issue", severity(F.col("seq_is_anomaly"), F.col("seq_score"), F.col("seq_threshold"))
     )
 
 
-def score_sequences(df: DataFrame, length: int = SEQUENCE, keys: list[str] = ["rxid"]) -> DataFrame:
+def score_sequences(df: DataFrame, length: int = SEQUENCE, keys: list[str] = ["rxid"],
+                    materialize: bool = False) -> DataFrame:
     """Forecast of each row as the mean of the ``length - 1`` rows before it.
 
     The squared error is taken in units of the receiver's deviation, averaged
     over both features, scaled to 0..1 and compared with its threshold.  Rows
-    without a full sequence are not scored."""
+    without a full sequence are not scored.
+
+    The statistics need further passes over the windowed rows.  On a cluster set
+    ``materialize``: the narrow feature rows (keys, id, stamp, numbers) are then
+    written once to the shared checkpoint folder, and the result has those
+    columns only (see ``attach_scores``)."""
+    if materialize:
+        df = df.select(*keys, "id", "timestamp", "data")
     features = ["data_len", "delta_s"]
     w = W.partitionBy(*keys, "_block").orderBy("_rank").rowsBetween(-(length - 1), -1)
     rows = sequence_rows(df, length, keys)
     rows = rows.withColumns({f"_back_{c}": F.avg(c).over(w) for c in features}).where(~F.col("_copy"))
+    if materialize:
+        rows = cut_lineage(rows.drop("data"))
     rows = _with_stats(rows, keys, {f"_dev_{c}": F.stddev_pop(c) for c in features})
     parts = [
         F.when(F.col(f"_dev_{c}") == 0, F.lit(0.0)).otherwise(
@@ -166,13 +189,18 @@ def score_sequences(df: DataFrame, length: int = SEQUENCE, keys: list[str] = ["r
 
 
 def _lag_vectors(df: DataFrame, length: int, keys: list[str]) -> DataFrame:
-    z = standardize(sequences(df, length, keys), {"data_len": "_z_len", "delta_s": "_z_gap"}, keys)
-    stats = {"_ml": F.avg("data_len"), "_sl": F.stddev_pop("data_len"), "_mg": F.avg("delta_s"), "_sg": F.stddev_pop("delta_s")}
-    z = _with_stats(z, keys, stats)
-    unit = lambda x, m, s: F.when(F.col(s) == 0, F.lit(0.0)).otherwise((x - F.col(m)) / F.col(s))
-    before = F.slice("sequence", 1, length - 1)
-    flat = F.flatten(F.transform(before, lambda x: F.array(unit(x["data_len"], "_ml", "_sl"), unit(x["delta_s"], "_mg", "_sg"))))
-    return z.withColumn("_lags", array_to_vector(flat)).drop("sequence", *stats)
+    """Standardised features of each row and, as a vector, of the rows before it."""
+    rows = sequence_rows(df, length, keys)
+    stats = rows.where(~F.col("_copy")).groupBy(*keys).agg(
+        F.avg("data_len").alias("_ml"), F.stddev_pop("data_len").alias("_sl"),
+        F.avg("delta_s").alias("_mg"), F.stddev_pop("delta_s").alias("_sg"),
+    )
+    unit = lambda c, m, s: F.when(F.col(s) == 0, F.lit(0.0)).otherwise((F.col(c) - F.col(m)) / F.col(s))
+    rows = rows.join(stats, keys).withColumns({"_z_len": unit("data_len", "_ml", "_sl"), "_z_gap": unit("delta_s", "_mg", "_sg")})
+    w = W.partitionBy(*keys, "_block").orderBy("_rank").rowsBetween(-(length - 1), -1)
+    rows = rows.withColumn("_lags", F.flatten(F.collect_list(F.array("_z_len", "_z_gap")).over(w)))
+    full = rows.where(~F.col("_copy") & (F.col("_rank") >= length))
+    return full.withColumn("_lags", array_to_vector("_lags")).drop("_block", "_copy", "_rank", "_ml", "_sl", "_mg", "_sg")
 
 
 def fit_forecaster(df: DataFrame, length: int = SEQUENCE, keys: list[str] = ["rxid"]) -> list:

@@ -34,22 +34,6 @@ def running_count(df: DataFrame, keys: list[str], order: list[str], flag: Column
     return rows.join(offsets, [*keys, SEGMENT]).withColumn(name, F.col(name) + F.col("_offset")).drop("_offset")
 
 
-def last_before(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """Last non-null ``value`` of the key before each row."""
-    position = F.struct(*order)
-    ends = df.where(F.col(value).isNotNull()).groupBy(*keys, SEGMENT).agg(F.max_by(value, position).alias("_end"))
-    # every segment needs its carried value, also those without a value of their own
-    every = df.select(*keys, SEGMENT).distinct().join(ends, [*keys, SEGMENT], "left")
-    carried = every.select(*keys, SEGMENT, F.last("_end", True).over(_before(keys)).alias("_carried"))
-    local = W.partitionBy(*keys, SEGMENT).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    rows = df.withColumn(name, F.last(value, True).over(local))
-    return (
-        rows.join(carried, [*keys, SEGMENT])
-        .withColumn(name, F.coalesce(name, "_carried"))
-        .drop("_carried")
-    )
-
-
 def ranked_blocks(df: DataFrame, keys: list[str], order: list[str], overlap: int, size: int = 100_000) -> DataFrame:
     """Number the rows of each key (``_rank``, from 1) and deal them into blocks of
     ``size`` rows (``_block``).  Each block also gets copies (``_copy``) of the
