@@ -18,9 +18,14 @@ from boxlore.sources import registry, tables
 
 
 def _read_if_any(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table that may not exist yet, or may have been written without rows."""
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
-    return spark.read.parquet(path) if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder) else None
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return None
+    filled = any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(folder))
+    return spark.read.parquet(path) if filled else None
 
 
 def parse_files(files: DataFrame, reference_year: int) -> DataFrame:

@@ -17,15 +17,15 @@ def _clean(text: Column) -> Column:
     return F.regexp_replace(text, "�", "")
 
 
-def _reader(spark: SparkSession, name_contains: str | None, **options):
-    reader = spark.read.option("recursiveFileLookup", "true").options(**options)
+def _reader(spark: SparkSession, name_contains: str | None):
+    reader = spark.read.option("recursiveFileLookup", "true")
     return reader.option("pathGlobFilter", f"*{name_contains}*") if name_contains else reader
 
 
 def read_files(spark: SparkSession, root: str, name_contains: str | None = None,
                max_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
     """(path, file_name, content, file_hash), one row per non-empty plain or gzip file."""
-    raw = _reader(spark, name_contains, wholetext="true").text(root)
+    raw = _reader(spark, name_contains).text(root, wholetext=True)
     return raw.where(F.col("_metadata.file_size") <= max_bytes).select(
         F.col("_metadata.file_path").alias("path"), _clean(F.col("value")).alias("content")
     ).where("content <> ''").select(
