@@ -8,6 +8,7 @@ from boxlore.catalog.registry import query, table
 from boxlore.catalog.views import logs
 from boxlore.functions.text import index_terms, mask_addresses, words
 from boxlore.operators import classify, embed, enrich, mutual_info, topics
+from boxlore.sources.tables import spread
 
 _COLUMNS = ["category", "directory_file", "dataset", "data"]
 
@@ -127,7 +128,7 @@ c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL)"""
 
 @query("term_counts", f"WITH {_TERMS} SELECT doc_id, term, tf FROM c")
 def _(spark, sf):
-    return classify.term_counts(table(spark, sf, "documents"), "doc_id", F.col("text"))
+    return classify.term_counts(spread(table(spark, sf, "documents")), "doc_id", F.col("text"))
 
 
 @query("tfidf_weights", f"""
@@ -135,7 +136,7 @@ WITH {_TERMS}, v AS (SELECT term, count(*) AS df FROM c GROUP BY term ORDER BY s
 w AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1) AS w FROM c JOIN v USING (term))
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
 def _(spark, sf):
-    out = classify.tfidf_terms(table(spark, sf, "documents"), "doc_id", F.col("text"), 1000)
+    out = classify.tfidf_terms(spread(table(spark, sf, "documents")), "doc_id", F.col("text"), 1000)
     return out.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -159,14 +160,14 @@ def _(spark, sf):
 
 
 def _labelled(spark, sf):
-    return enrich.rule_labels(logs(spark, sf))
+    return enrich.rule_labels(logs(spark, sf, spread_out=True))
 
 
 @query("forest_labels")
 def _(spark, sf):
     df = _labelled(spark, sf)
     model = classify.fit_text_classifier(classify.training_rows(df, ["data"]), ["data"], max_features=500, trees=10, depth=5)
-    out = enrich.enrich(logs(spark, sf), lambda rows: classify.predict_labels(model, rows, ["data"]))
+    out = enrich.enrich(logs(spark, sf, spread_out=True), lambda rows: classify.predict_labels(model, rows, ["data"]))
     return out.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
@@ -204,7 +205,7 @@ def _(spark, sf):
 SELECT doc_id, array_to_string(list_filter(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}_]+'),
   lambda w: length(w) BETWEEN 2 AND 15 AND NOT starts_with(w, '_')), ' ') AS words FROM documents""")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.array_join(words(F.col("text")), " ").alias("words"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.array_join(words(F.col("text")), " ").alias("words"))
 
 
 @query("labelled_message_words", """
@@ -218,7 +219,7 @@ def _(spark, sf):
 
 
 def _tokens(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     return d.select(F.col("doc_id").alias("id"), "source", topics.message_words(F.col("text")).alias("tokens"))
 
 
@@ -229,7 +230,7 @@ _WORDS = """w AS (SELECT doc_id, list_filter(regexp_extract_all(strip_accents(lo
 @query("topic_vocabulary_size", f"""
 WITH {_WORDS.replace("'[MESSAGE] ' || text", "text")} SELECT count(DISTINCT t) AS n FROM (SELECT unnest(tokens) AS t FROM w WHERE doc_id < 20000)""")
 def _(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), words(F.col("text")).alias("tokens"))
+    d = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), words(F.col("text")).alias("tokens"))
     return topics.vocabulary(d).agg(F.count("*").alias("n"))
 
 
@@ -306,6 +307,6 @@ def _(spark, sf):
 
 @query("message_embeddings")
 def _(spark, sf):
-    df = logs(spark, sf).withColumn("source_table", F.col("rxid"))
+    df = logs(spark, sf, spread_out=True).withColumn("source_table", F.col("rxid"))
     out = embed.embed_with_words(embed.fit_words(df, 16), df)
     return embed.landscape(out).select("id", "source_code", F.size("embedding").alias("dims"), "norm")

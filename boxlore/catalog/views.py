@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from boxlore.sources.tables import spread
+
 # placeholders: u user_id, v floor(value), d 2*v, w four-digit width, k event_id
 MESSAGES = [
     "DUMPING FILE /tmp/d{u}.bin",
@@ -84,9 +86,11 @@ def _padded() -> Column:
     return F.concat(F.lit("R"), F.lpad(F.col("user_id").cast("string"), 10, "0"))
 
 
-def logs(spark: SparkSession, sf: str) -> DataFrame:
+def logs(spark: SparkSession, sf: str, spread_out: bool = False) -> DataFrame:
     """``logs`` view; ``kind`` is the number of the message sentence."""
     e = spark.read.parquet(f"{sf}/events.parquet")
+    if spread_out:
+        e = spread(e)
     return e.select(
         _padded().alias("rxid"),
         F.col("event_id").alias("id"),
@@ -117,7 +121,7 @@ LOGS_SQL = f"""logs AS (
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """``lines`` view: (path, line_no, line); the format is event_id % 9.  Every
     50th line carries a broken stamp, and some files start with one."""
-    e = spark.read.parquet(f"{sf}/events.parquet")
+    e = spread(spark.read.parquet(f"{sf}/events.parquet"))
     f = F.col("event_id") % 9
     u, k = F.col("user_id").cast("string"), F.col("event_id").cast("string")
     us = F.date_format("ts", "MM/dd/yyyy HH:mm:ss")

@@ -41,6 +41,16 @@ LINE_RULES = {
     ),
 }
 
+# --- what a matching line starts with and contains; tested before the pattern --------
+LINE_GATES = {
+    "pipeline_control": ("[", ":["),
+    "standard_log": ("[", "><"),
+    "sbsdk_logs": ("[", "|"),
+    "qt_ui": ("[", ","),
+    "qt_ui_chunks": ("[", "]<"),
+    "wjap_logs": ("", "]:"),
+}
+
 # --- other file formats ---------------------------------------------------------
 VAR_FIRST_LINE = r"^\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d+"
 VAR_LINE = (

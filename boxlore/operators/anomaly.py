@@ -11,6 +11,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from boxlore.plans.ordered import SEGMENT, ranked_blocks, time_slice
+from boxlore.plans.skew import join_per_key
 from boxlore.session import cut_lineage
 
 SEQUENCE = 16
@@ -22,7 +23,8 @@ SEQUENCE = 16
 def _with_stats(df: DataFrame, keys: list[str], stats: dict[str, Column]) -> DataFrame:
     """Aggregates per key as columns; without keys, as one-row scalar subqueries."""
     if keys:
-        return df.join(df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]), keys)
+        per_key = df.groupBy(*keys).agg(F.count("*").alias("_rows"), *[c.alias(n) for n, c in stats.items()])
+        return join_per_key(df, per_key, keys, "_rows")
     one = df.agg(F.struct(*[c.alias(n) for n, c in stats.items()]).alias("s"))
     return df.withColumns({n: one.scalar()[n] for n in stats})
 
@@ -158,17 +160,17 @@ def _finish_sequences(errors: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def score_sequences(df: DataFrame, length: int = SEQUENCE, keys: list[str] = ["rxid"],
-                    materialize: bool = False) -> DataFrame:
+                    materialize: bool = True) -> DataFrame:
     """Forecast of each row as the mean of the ``length - 1`` rows before it.
 
     The squared error is taken in units of the receiver's deviation, averaged
     over both features, scaled to 0..1 and compared with its threshold.  Rows
     without a full sequence are not scored.
 
-    The statistics need further passes over the windowed rows.  On a cluster set
-    ``materialize``: the narrow feature rows (keys, id, stamp, numbers) are then
-    written once to the shared checkpoint folder, and the result has those
-    columns only (see ``attach_scores``)."""
+    The statistics need further passes over the windowed rows.  Narrow feature
+    rows (keys, id, stamp, numbers) are therefore written once to the shared
+    checkpoint folder, and the result has those columns only; ``attach_scores``
+    brings it back to the rows.  Without ``materialize`` everything stays lazy."""
     if materialize:
         df = df.select(*keys, "id", "timestamp", "data")
     features = ["data_len", "delta_s"]
@@ -192,11 +194,12 @@ def _lag_vectors(df: DataFrame, length: int, keys: list[str]) -> DataFrame:
     """Standardised features of each row and, as a vector, of the rows before it."""
     rows = sequence_rows(df, length, keys)
     stats = rows.where(~F.col("_copy")).groupBy(*keys).agg(
+        F.count("*").alias("_rows"),
         F.avg("data_len").alias("_ml"), F.stddev_pop("data_len").alias("_sl"),
         F.avg("delta_s").alias("_mg"), F.stddev_pop("delta_s").alias("_sg"),
     )
     unit = lambda c, m, s: F.when(F.col(s) == 0, F.lit(0.0)).otherwise((F.col(c) - F.col(m)) / F.col(s))
-    rows = rows.join(stats, keys).withColumns({"_z_len": unit("data_len", "_ml", "_sl"), "_z_gap": unit("delta_s", "_mg", "_sg")})
+    rows = join_per_key(rows, stats, keys, "_rows").withColumns({"_z_len": unit("data_len", "_ml", "_sl"), "_z_gap": unit("delta_s", "_mg", "_sg")})
     w = W.partitionBy(*keys, "_block").orderBy("_rank").rowsBetween(-(length - 1), -1)
     rows = rows.withColumn("_lags", F.flatten(F.collect_list(F.array("_z_len", "_z_gap")).over(w)))
     full = rows.where(~F.col("_copy") & (F.col("_rank") >= length))
@@ -205,7 +208,7 @@ def _lag_vectors(df: DataFrame, length: int, keys: list[str]) -> DataFrame:
 
 def fit_forecaster(df: DataFrame, length: int = SEQUENCE, keys: list[str] = ["rxid"]) -> list:
     """One linear model per feature on the lagged features (train on known-good rows)."""
-    rows = _lag_vectors(df, length, keys)
+    rows = cut_lineage(_lag_vectors(df, length, keys).select("_lags", "_z_len", "_z_gap"))  # read by both fits
     return [
         LinearRegression(featuresCol="_lags", labelCol=target, predictionCol=f"_p{target}", regParam=0.01).fit(rows)
         for target in ("_z_len", "_z_gap")
@@ -213,12 +216,13 @@ def fit_forecaster(df: DataFrame, length: int = SEQUENCE, keys: list[str] = ["rx
 
 
 def score_forecast(models: list, df: DataFrame, length: int = SEQUENCE, keys: list[str] = ["rxid"]) -> DataFrame:
-    rows = _lag_vectors(df, length, keys)
+    """Scores (keys, id, stamp) by the fitted models; errors are written once, as above."""
+    rows = _lag_vectors(df.select(*keys, "id", "timestamp", "data"), length, keys).drop("data")
     for model in models:
         rows = model.transform(rows)
     error = (F.pow(F.col("_z_len") - F.col("_p_z_len"), 2) + F.pow(F.col("_z_gap") - F.col("_p_z_gap"), 2)) / 2
     rows = rows.withColumn("_error", error).drop("_lags", "_z_len", "_z_gap", "_p_z_len", "_p_z_gap")
-    return _finish_sequences(rows, keys)
+    return _finish_sequences(cut_lineage(rows), keys)
 
 
 def attach_scores(df: DataFrame, scores: DataFrame, keys: list[str] = ["rxid", "id"]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from boxlore.functions import fixed_values as fixed
 from boxlore.functions.text import index_terms
 from boxlore.operators.enrich import feature_text, label
+from boxlore.session import cut_lineage
 from boxlore.sources.tables import add_missing
 
 UNKNOWN = "UNKNOWN"
@@ -77,7 +78,8 @@ def _label_stages(df: DataFrame, features: str, model_type: str, trees: int, dep
 def fit_text_classifier(df: DataFrame, columns: list[str], model_type: str = "RandomForest", max_features: int = 10_000,
                         trees: int = 100, depth: int = 10, counts_only: bool = False) -> PipelineModel:
     """TF-IDF (or plain counts) of the feature text into a forest or naive Bayes."""
-    rows = _prepared(df, columns).withColumn("_label", label())
+    # every stage reads the training set; the text work is done once
+    rows = cut_lineage(_prepared(df, columns).select("_terms", label().alias("_label")))
     counts = CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=max_features)
     stages = [counts]
     features = "_counts"
@@ -147,6 +149,7 @@ def fit_hybrid(df: DataFrame, columns: list[str], max_features: int = 1_000, axe
     numeric = [c for c in domain if kinds[c] == "numeric"]
     categorical = [c for c in domain if kinds[c] == "categorical"]
     rows = _hybrid_prepared(df, columns, numeric, categorical).withColumn("_label", label())
+    rows = cut_lineage(rows.select("_label", *[c for c in rows.columns if c == "_terms" or c[:3] in ("_n_", "_c_")]))
     counts = CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=max_features).fit(rows)
     axes = min(axes, len(counts.vocabulary))
     stages = [counts, IDF(inputCol="_counts", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_tfidf"),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from boxlore.functions.text import words
 from boxlore.functions.timestamps import missing_filled
 from boxlore.plans.groups import dense_codes
+from boxlore.plans.skew import join_per_key
 
 
 def split_sources(df: DataFrame, embedded: DataFrame, column: str = "source_table") -> tuple[DataFrame, DataFrame]:
@@ -21,8 +22,9 @@ def split_sources(df: DataFrame, embedded: DataFrame, column: str = "source_tabl
 
 def newer_rows(df: DataFrame, embedded: DataFrame, column: str = "source_table") -> DataFrame:
     """Rows later than what is embedded of their source, and all rows of new sources."""
-    marks = embedded.groupBy(column).agg(F.max("timestamp").alias("_mark"))
-    joined = df.join(marks, column, "left")
+    counts = df.groupBy(column).agg(F.count("*").alias("_rows"))
+    marks = counts.join(embedded.groupBy(column).agg(F.max("timestamp").alias("_mark")), column, "left")
+    joined = join_per_key(df, marks, [column], "_rows")
     return joined.where(F.col("_mark").isNull() | (F.col("timestamp") > F.col("_mark"))).drop("_mark")
 
 
@@ -37,9 +39,15 @@ def with_timestamps(df: DataFrame, run_time: Column) -> DataFrame:
     return df.withColumn("timestamp_imputed", imputed).withColumn("timestamp", stamp)
 
 
-def fit_words(df: DataFrame, size: int = 64, min_count: int = 5) -> Word2VecModel:
-    rows = df.withColumn("_words", words(F.col("data")))
-    return Word2Vec(vectorSize=size, minCount=min_count, seed=42, inputCol="_words", outputCol="_vector", maxIter=1).fit(rows)
+def fit_words(df: DataFrame, size: int = 64, min_count: int = 5, partitions: int | None = None) -> Word2VecModel:
+    """Word vectors trained on all messages, in parallel parts that are averaged.
+
+    ``min_count`` bounds the vocabulary; raise it with the amount of text."""
+    rows = df.select(words(F.col("data")).alias("_words"))
+    parts = partitions or df.sparkSession.sparkContext.defaultParallelism
+    return Word2Vec(
+        vectorSize=size, minCount=min_count, numPartitions=parts, seed=42, inputCol="_words", outputCol="_vector", maxIter=1,
+    ).fit(rows)
 
 
 def embed_with_words(model: Word2VecModel, df: DataFrame) -> DataFrame:
@@ -63,4 +71,6 @@ def norm(vector: Column) -> Column:
 def landscape(embedded: DataFrame, column: str = "source_table") -> DataFrame:
     """Rows with stamp and vector, the vector norm, and the source as a number."""
     rows = embedded.dropna(how="any", subset=["timestamp", "embedding"])
-    return rows.withColumn("norm", norm(F.col("embedding"))).join(dense_codes(rows, column, "source_code"), column)
+    counts = rows.groupBy(column).agg(F.count("*").alias("_rows"))
+    codes = counts.join(dense_codes(rows, column, "source_code"), column)
+    return join_per_key(rows.withColumn("norm", norm(F.col("embedding"))), codes, [column], "_rows")

@@ -56,7 +56,10 @@ def enrich(df: DataFrame, predict: Callable[[DataFrame], DataFrame] | None = Non
            fields: list[FieldSpec] | None = None) -> DataFrame:
     """Fields, rule labels, predicted labels for rows still without one, signal label.
 
-    ``predict`` adds a column ``predicted``; UNKNOWN predictions are not written."""
+    ``predict`` adds a column ``predicted``; UNKNOWN predictions are not written.
+    The signal words are looked for in the given columns and the label: the
+    fields are pieces of the message, so they hold no word it does not."""
+    given = list(dict.fromkeys([*text_columns(df), "event_type"]))
     df = rule_labels(df, fields)
     if predict is not None:
         empty = F.coalesce(F.trim("event_type"), F.lit("")) == ""
@@ -65,4 +68,4 @@ def enrich(df: DataFrame, predict: Callable[[DataFrame], DataFrame] | None = Non
             "event_type",
             F.when(empty & (F.col("predicted") != "UNKNOWN"), F.col("predicted")).otherwise(F.col("event_type")),
         ).drop("predicted")
-    return protect_signal(df)
+    return protect_signal(df, given)

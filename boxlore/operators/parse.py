@@ -36,7 +36,11 @@ def _matched(lines: DataFrame, rules: Rules) -> DataFrame:
     pattern = parts = None
     for name, (regex, columns) in rules.items():
         start = F if pattern is None else pattern
-        pattern = start.when(line.rlike(regex), F.lit(name))
+        hit = line.rlike(regex)
+        if rules is fixed.LINE_RULES and name in fixed.LINE_GATES:
+            first, inner = fixed.LINE_GATES[name]
+            hit = line.startswith(first) & line.contains(inner) & hit
+        pattern = start.when(hit, F.lit(name))
         start = F if parts is None else parts
         parts = start.when(F.col("pattern") == name, split_groups(line, regex, len(columns)))
     return lines.withColumn("pattern", pattern).withColumn("_parts", parts)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from boxlore.plans.ordered import sum_around
+from boxlore.plans.skew import join_per_key
 
 
 def numeric_features(df: DataFrame) -> list[str]:
@@ -27,16 +28,15 @@ def significance(df: DataFrame, columns: list[str] | None = None, keys: list[str
     """Mean of the min-max scaled numeric columns per receiver (``significance_score``).
 
     NULLs do not count, constant columns give 0, rows with no number get NULL.
-    The ranges are a map-side aggregate joined back; AQE broadcasts them when
-    they are small and splits a busy receiver when they are not."""
+    The ranges are a map-side aggregate, joined back without gathering a busy receiver."""
     columns = columns or numeric_features(df)
-    ranges = df.groupBy(*keys).agg(*[
+    ranges = df.groupBy(*keys).agg(F.count("*").alias("_rows"), *[
         f(F.col(c).cast("double")).alias(f"_{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))
     ])
     scaled = [_scaled(c) for c in columns]
     total = reduce(lambda a, b: a + b, [F.coalesce(s, F.lit(0.0)) for s in scaled])
     filled = reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in columns])
-    joined = df.join(ranges, keys, "left").withColumn(
+    joined = join_per_key(df, ranges, keys, "_rows").withColumn(
         "significance_score", F.when(filled > 0, total / filled)
     )
     return joined.select(*[c for c in df.columns if c != "significance_score"], "significance_score")

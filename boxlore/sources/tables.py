@@ -110,6 +110,13 @@ def upsert_table(new: DataFrame, root: str, keys: list[str]) -> str:
     return write_next(new if old is None else upsert(old, new, keys), root)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan to all cores when the files gave too few splits (gzip,
+    a single row group); otherwise the scan is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def receiver_group(rxid: Column, groups: int = 64) -> Column:
     return F.pmod(F.xxhash64(rxid), F.lit(groups)).cast("int")
 
