@@ -144,12 +144,11 @@ def parse_var(lines: DataFrame) -> DataFrame:
 
 
 def trap_blocks(files: DataFrame) -> DataFrame:
-    """Whole-file rows cut at the block headers: (path, line_no = block number, data)."""
+    """Whole-file rows cut at the block headers: (path, line_no = headers before the block, data)."""
     blocks = F.transform(F.split("content", fixed.KTRAP_HEADER), lambda b: F.regexp_replace(b, r"^\s+|\s+$", ""))
     rest = [c for c in files.columns if c != "content"]
-    return files.select(*rest, F.posexplode(F.filter(blocks, lambda b: b != "")).alias("line_no", "data")).withColumn(
-        "line_no", F.col("line_no").cast("bigint")
-    )
+    cut = files.select(*rest, F.posexplode(blocks).alias("line_no", "data")).where("data <> ''")
+    return cut.withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 def trap_blocks_of_lines(lines: DataFrame) -> DataFrame:
