@@ -89,9 +89,11 @@ def _padded() -> Column:
 def logs(spark: SparkSession, sf: str, spread_out: bool = False) -> DataFrame:
     """``logs`` view; ``kind`` is the number of the message sentence."""
     e = spark.read.parquet(f"{sf}/events.parquet")
-    if spread_out:
-        e = spread(e)
-    return e.select(
+    return log_columns(spread(e) if spread_out else e)
+
+
+def log_columns(events: DataFrame) -> DataFrame:
+    return events.select(
         _padded().alias("rxid"),
         F.col("event_id").alias("id"),
         F.col("ts").cast("timestamp").alias("timestamp"),

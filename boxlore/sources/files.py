@@ -12,9 +12,9 @@ from boxlore.plans.ordered import SEGMENT
 WHOLE_FILE_BYTES = 256 * 1024 * 1024
 
 
-def _clean(text: Column) -> Column:
-    """Bytes that are no UTF-8 arrive as U+FFFD; they are dropped."""
-    return F.regexp_replace(text, "�", "")
+def valid_text(text: Column) -> Column:
+    """Text without the bytes that are no UTF-8; valid text (nearly all) is only checked."""
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.regexp_replace(F.make_valid_utf8(text), "\ufffd", ""))
 
 
 def _reader(spark: SparkSession, name_contains: str | None):
@@ -26,9 +26,10 @@ def read_files(spark: SparkSession, root: str, name_contains: str | None = None,
                max_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
     """(path, file_name, content, file_hash), one row per non-empty plain or gzip file."""
     raw = _reader(spark, name_contains).text(root, wholetext=True)
-    return raw.where(F.col("_metadata.file_size") <= max_bytes).select(
-        F.col("_metadata.file_path").alias("path"), _clean(F.col("value")).alias("content")
-    ).where("content <> ''").select(
+    small = (F.col("_metadata.file_size") <= max_bytes) & (F.col("value") != "")
+    return raw.where(small).select(
+        F.col("_metadata.file_path").alias("path"), valid_text(F.col("value")).alias("content")
+    ).select(
         "path", file_name(F.col("path")).alias("file_name"), "content", F.md5("content").alias("file_hash")
     )
 
@@ -55,7 +56,7 @@ def read_large_lines(spark: SparkSession, root: str, name_contains: str | None =
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias(SEGMENT),
         F.monotonically_increasing_id().alias("_at"),
-        _clean(F.col("value")).alias("line"),
+        valid_text(F.col("value")).alias("line"),
     )
     blocks = lines.groupBy("path", SEGMENT).agg(F.count("*").alias("_n"))
     before = W.partitionBy("path").orderBy(SEGMENT).rowsBetween(W.unboundedPreceding, -1)

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from boxlore import jobs
 from boxlore.functions.text import file_name
+from boxlore.sources.files import valid_text
 
 
 def file_stream(spark: SparkSession, root: str, files_per_batch: int = 10_000) -> DataFrame:
@@ -16,10 +17,10 @@ def file_stream(spark: SparkSession, root: str, files_per_batch: int = 10_000) -
         .option("wholetext", "true").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch)
         .load(root)
     )
-    content = F.regexp_replace("value", "�", "")
+    content = valid_text(F.col("value"))
     path = F.col("_metadata.file_path")
-    return raw.select(path.alias("path"), file_name(path).alias("file_name"), content.alias("content"),
-                      F.md5(content).alias("file_hash")).where("content <> ''")
+    return raw.where("value <> ''").select(path.alias("path"), file_name(path).alias("file_name"), content.alias("content"),
+                      F.md5(content).alias("file_hash"))
 
 
 def start_ingest(spark: SparkSession, root: str, store: str, checkpoint: str, reference_year: int,

@@ -230,3 +230,45 @@ def test_clock_is_not_read_for_run_time(spark):
     df = spark.createDataFrame([(1, None), (2, dt.datetime(2024, 1, 1))], "id int, timestamp timestamp")
     out = embed.with_timestamps(df, F.lit(dt.datetime(2025, 1, 1)).cast("timestamp")).collect()
     assert [(r["id"], r["timestamp"].year, r["timestamp_imputed"]) for r in out] == [(1, 2025, True), (2, 2024, False)]
+
+
+def test_topic_count_and_overview_file(spark, tmp_path):
+    from boxlore.operators import topics
+
+    texts = ["cat dog cow", "dog cat pig", "red blue green", "blue red grey"] * 5
+    df = spark.createDataFrame([(i, t.split()) for i, t in enumerate(texts)], "id int, tokens array<string>")
+    k, model = topics.pick_topic_count(df, [2, 3], iterations=5)
+    assert k in (2, 3)
+    topics.write_overview(model, str(tmp_path / "topics"))
+    got = spark.read.option("header", "true").csv(str(tmp_path / "topics")).collect()
+    assert len(got) == k and all(r["terms"] for r in got)
+
+
+def test_graph_tables(spark, tmp_path):
+    from boxlore.operators import graph
+
+    day = dt.datetime(2024, 1, 1)
+    rows = [(day, None, "a", "e1", None, None, "f", 2), (day, None, "a", "e2", None, None, "f", 1), (day, "c", "b", None, "7", "8", "f", 3)]
+    df = spark.createDataFrame(rows, "timestamp timestamp, category string, data string, event_type string, sid string, cid string, directory_file string, line_no int")
+    graph.write_graph(df, str(tmp_path / "g"))
+    nodes = spark.read.parquet(str(tmp_path / "g" / "nodes"))
+    assert {r["label"]: r["count"] for r in nodes.groupBy("label").count().collect()} == {
+        "LogLine": 2, "Process": 2, "Session": 1, "Connection": 1}
+    assert nodes.where("label = 'LogLine' AND props['data'] = 'a'").first()["props"]["event_type"] == "e2"
+    edges = spark.read.parquet(str(tmp_path / "g" / "edges"))
+    assert {r["rel"]: r["count"] for r in edges.groupBy("rel").count().collect()} == {
+        "GENERATED": 2, "PART_OF_SESSION": 1, "ASSOCIATED_WITH": 1}
+
+
+def test_busy_keys_keep_their_values(spark, monkeypatch):
+    from boxlore.plans import skew
+
+    monkeypatch.setattr(skew, "BUSY_KEYS", 1)
+    df = spark.range(300).select(F.col("id"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("k"))
+    df = df.withColumn("k", F.when(F.col("id") == 5, F.lit(None)).otherwise(F.col("k")))
+    per_key = df.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    got = skew.join_per_key(df, per_key, ["k"], "n")
+    assert got.columns == ["id", "k", "top"]
+    want = {r["k"]: r["top"] for r in per_key.collect()}
+    assert all(r["top"] == (want[r["k"]] if r["k"] is not None else None) for r in got.collect())
+    assert got.count() == 300
