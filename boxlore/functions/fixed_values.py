@@ -72,6 +72,7 @@ TOPIC_LINES = {
 }
 
 # --- message fields: text every match contains, pattern, output column of each group ---
+# (the text is looked for in lower case where the pattern ignores case)
 MESSAGE_FIELDS = [
     ("Interface ", r"Interface (\w+) (Connected|Not Connected)\(?(-?\d+)?\)?",
      ["interface", "connection_status", "interface_status_code"]),
@@ -94,8 +95,8 @@ MESSAGE_FIELDS = [
     ("(via mmap)", r"Allocated\s*(\d+)\s*bytes\s*in\s*(\d+)\s*chunks\.\s*\(via mmap\)",
      ["allocated_mmap_bytes", "allocated_mmap_chunks"]),
     ("(via malloc)", r"Allocated\s*(\d+)\s*bytes\s.*\(via malloc\)", ["allocated_malloc_bytes"]),
-    (None, r"(?i)svc_name\s*=\s*([\w\-]+)", ["svc_name"]),
-    (None, r"(?i)video resolution[:\s]+(\d{3,4}x\d{3,4})", ["video_resolution"]),
+    ("svc_name", r"(?i)svc_name\s*=\s*([\w\-]+)", ["svc_name"]),
+    ("video resolution", r"(?i)video resolution[:\s]+(\d{3,4}x\d{3,4})", ["video_resolution"]),
     ("Type:<", r"Type:<(\d+):(\w+)>", ["msg_type_code", "msg_type_name"]),
     ("Class:<", r"Class:<(\d+):(\w+)>", ["msg_class_code", "msg_class_name"]),
     ("stbh:<", r"stbh:<([^>]+)>", ["stbh"]),

@@ -22,7 +22,8 @@ def field_columns(data: Column, fields: list[FieldSpec] | None = None) -> dict[s
             value = group_or_null(text, pattern, group)
             if name in fixed.MESSAGE_CODES:
                 value = value.try_cast("bigint")
-            out[name] = F.when(text.contains(gate), value) if gate else value
+            where = F.lower(text) if pattern.startswith("(?i)") else text
+            out[name] = F.when(where.contains(gate), value) if gate else value
             if name in fixed.MESSAGE_NUMBERS:
                 out[f"{name}_num"] = out[name].try_cast("bigint")
     return out
@@ -37,7 +38,8 @@ def extract_fields(df: DataFrame, data: str = "data", fields: list[FieldSpec] |
 
 def display_drop(data: Column) -> Column:
     """Reported drop length, 0 when there is none."""
-    return F.coalesce(F.regexp_extract(data, fixed.DISPLAY_DROP, 1).try_cast("int"), F.lit(0))
+    found = F.regexp_extract(data, fixed.DISPLAY_DROP, 1).try_cast("int")
+    return F.coalesce(F.when(F.lower(data).contains(fixed.SESSION_DROP_TEXT), found), F.lit(0))
 
 
 def known_event(msg_type: Column) -> Column:

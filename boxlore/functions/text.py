@@ -86,7 +86,7 @@ def label_line(text: Column) -> Column:
     labelled = F.regexp_replace(
         text, fixed.LABELLED_LINE, r"[MODULE] $1 [TIMESTAMP] $2 [FILELINE] $3 [MESSAGE] $4"
     )
-    return F.when(text.rlike(fixed.LABELLED_LINE), labelled).otherwise(F.concat(F.lit("[MESSAGE] "), text))
+    return F.when(text.startswith("[") & text.rlike(fixed.LABELLED_LINE), labelled).otherwise(F.concat(F.lit("[MESSAGE] "), text))
 
 
 def words(text: Column) -> Column:

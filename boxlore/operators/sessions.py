@@ -29,9 +29,9 @@ def number_sessions(df: DataFrame, marker: Column | None = None, keys: list[str]
     return running_count(rows, keys, ["timestamp", "id"], F.col("is_marker"), "session_no")
 
 
-def alert_tests(data: Column) -> dict[str, Column]:
-    """Alert name -> does the line count for it."""
-    lower, drop = F.lower(data), display_drop(data)
+def alert_tests(data: Column, drop: Column) -> dict[str, Column]:
+    """Alert name -> does the line count for it; ``drop`` is the reported drop length."""
+    lower = F.lower(data)
     tests = {name: lower.contains(word) for name, word in fixed.SESSION_ALERTS.items()}
     dropped = lower.contains(fixed.SESSION_DROP_TEXT)
     for name, low, high in fixed.SESSION_DROP_BUCKETS:
@@ -47,14 +47,15 @@ def is_other_event(data: Column) -> Column:
 def session_summary(numbered: DataFrame, keys: list[str] = ["rxid"]) -> DataFrame:
     """One row per session: start, service, resolution and alert tallies (all sums,
     so they fold map-side)."""
-    text, body = _text(), ~F.col("is_marker")
+    text, body = F.col("_text"), ~F.col("is_marker")
     fields = field_columns(text)
     opened = lambda c: F.max(F.when(F.col("is_marker"), c))
-    return numbered.groupBy(*keys, "session_no").agg(
+    rows = numbered.withColumn("_text", _text()).withColumn("_drop", display_drop(F.col("_text")))
+    return rows.groupBy(*keys, "session_no").agg(
         F.min("timestamp").alias("change_content_timestamp"),
         opened(fields["svc_name"]).alias("svc_name"),
         opened(fields["video_resolution"]).alias("video_resolution"),
-        *[F.count_if(body & test).alias(name) for name, test in alert_tests(text).items()],
+        *[F.count_if(body & test).alias(name) for name, test in alert_tests(text, F.col("_drop")).items()],
         F.count_if(body & is_other_event(text)).alias("n_other_events"),
     )
 

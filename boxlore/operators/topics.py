@@ -72,10 +72,12 @@ def coherence(df: DataFrame, topics: dict[int, list[str]], tokens: str = "tokens
     have = F.array_intersect(F.array_distinct(tokens), F.array(*[F.lit(n) for n in names]))
     met = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
     docs = df.select(have.alias("have")).where(F.size("have") > 0)
-    single = docs.select(F.explode("have").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    both = docs.where(F.size("have") > 1).select(
-        F.explode(F.filter(met, lambda p: F.array_contains("have", p["a"]) & F.array_contains("have", p["b"]))).alias("p")
-    ).groupBy("p.a", "p.b").agg(F.count("*").alias("n_ab"))
+    alone = F.transform("have", lambda w: F.struct(w.alias("a"), w.alias("b")))
+    together = F.filter(met, lambda p: F.array_contains("have", p["a"]) & F.array_contains("have", p["b"]))
+    # one pass counts words (as pairs with themselves) and pairs
+    counts = docs.select(F.explode(F.concat(alone, together)).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    single = counts.where("a = b").select(F.col("a").alias("w"), "n")
+    both = counts.where("a <> b").select("a", "b", F.col("n").alias("n_ab"))
     spark = df.sparkSession
     wanted = spark.createDataFrame(
         [(t, *sorted(p)) for t, ns in topics.items() for p in combinations(ns, 2)], "topic int, a string, b string")
