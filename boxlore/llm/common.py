@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from boxlore.session import checkpoint_dir
@@ -28,3 +30,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only key and text; null text becomes the empty text."""
     return df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes, so that a task's Python memory is bounded."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
