@@ -8,8 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boxlore.llm import byte_bpe, exact_dedup, packing, quality, token_counts
-from boxlore.llm.common import scratch, table
+from boxlore.llm import byte_bpe, exact_dedup, packing, quality, token_counts, warc
+from boxlore.llm.common import scratch, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select(
         "doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted")
     )
+
+
+@query("""
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+    q AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+    FROM q
+""")
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "archives")
+    index = written(warc.write(warc.decide(table(spark, sf_dir, "pages")), folder), "archive-index")
+    records = warc.read(index, folder)
+    return records.select(
+        F.col("id").alias("page_id"), "payload_bytes",
+        F.coalesce(F.sha1("payload"), F.col("digest")).alias("payload_digest"), "record_type", "refers_to",
+    )
