@@ -11,14 +11,56 @@ empty one is a single piece of one token.  Repeated rows are packed each.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
 from boxlore.llm import byte_bpe
+from boxlore.llm.common import small_batches
 
 LONGEST = 2048
 END = 1
 
 
+class Tokens:
+    """Compiled encoder of the same vocabulary; texts that it can't take are encoded by the trie."""
+
+    def __init__(self, path: str):
+        vocabulary = byte_bpe.Vocabulary(path)
+        self.path = path
+        self.compiled = tiktoken.Encoding(
+            "packing", pat_str=byte_bpe.WORDS, mergeable_ranks=vocabulary.ids, special_tokens=vocabulary.special)
+
+    def encode(self, text: str) -> bytes:
+        try:
+            return self.compiled.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+        except BaseException as error:  # its pattern matcher panics on huge runs of white space
+            if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
+                raise
+            return byte_bpe.encoder(self.path).encode(text)
+
+
+@lru_cache(maxsize=1)
+def tokens(path: str) -> Tokens:
+    return Tokens(path)
+
+
+def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids) per row, the ids of the whole text as four bytes each."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = tokens(vocabulary)
+        for batch in small_batches(batches):
+            ids = [compiled.encode(value or "") for value in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["key", "ids"])
+
+    return docs.select(key, text).mapInArrow(work, f"key {kind}, ids binary").withColumnRenamed("key", key)
+
+
 def cut(encoded: DataFrame, key: str = "doc_id", longest: int = LONGEST) -> DataFrame:
     """Pieces (key, start, length, ids, doc_tokens) of rows (key, ids), ids being four bytes each."""
     if longest & (longest - 1):
@@ -45,7 +87,7 @@ def cut(encoded: DataFrame, key: str = "doc_id", longest: int = LONGEST) -> Data
 def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", longest: int = LONGEST) -> DataFrame:
     """Pieces of all documents with their sequence: sequence_id, offset (always 0) and bucket (the length)."""
     end = F.lit(END.to_bytes(4, "little"))
-    encoded = byte_bpe.encode(docs, vocabulary, key, text).withColumn("ids", F.concat("ids", end))
+    encoded = encode(docs, vocabulary, key, text).withColumn("ids", F.concat("ids", end))
     return cut(encoded, key, longest).select(
         "*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
         F.col("length").alias("bucket"),

@@ -34,6 +34,12 @@ def test_random_texts(library):
         assert ours.decode(ids) == library.decode(ids_of(library, text), skip_special_tokens=False)
 
 
+def test_packing_encodes_the_same(library):
+    compiled = packing.Tokens(PATH)
+    for text in [*filter(None, ODD_TEXTS), " " * 200_000 + "x", "z" * 50_000]:
+        assert np.frombuffer(compiled.encode(text), "<u4").tolist() == ids_of(library, text)
+
+
 def test_memory_bound_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(byte_bpe, "MEMORY_WORDS", 20)
     ours = byte_bpe.Encoder(PATH)
