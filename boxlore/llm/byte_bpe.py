@@ -7,8 +7,8 @@ of a batch, sorted, form a trie in depth-first order; every node needs only its
 token, words that share a prefix share its nodes, and a word is read off by walking
 back from its end.  Long words cost time in proportion to their length.
 
-Words already seen by a task are remembered, up to ``MEMORY_WORDS`` of them; beyond
-that the memory starts anew, which changes no result.
+Words already seen by a task are remembered, up to ``MEMORY_WORDS`` of them; beyond that
+a new generation begins and takes over only what is met again, which changes no result.
 
 Defined results: null text counts as empty; the empty text has no ids; the text of a
 special token is that token's id wherever it occurs.  Repeated rows are encoded each.
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from struct import pack
 
 import ahocorasick
@@ -31,7 +31,7 @@ from boxlore.llm.common import small_batches
 
 #: the pattern of this family of tokenizers that cuts text into words (fixed value)
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 200_000
 NEVER = 1 << 60
 
 
@@ -52,8 +52,7 @@ class Vocabulary:
         as_bytes = lambda token: bytes(letters[c] for c in token)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.ids = {as_bytes(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
-        merges = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        self.ranks = {(as_bytes(a), as_bytes(b)): rank for rank, (a, b) in enumerate(merges)}
+        self._merges = spec["model"]["merges"]
         size = max([*self.ids.values(), *self.special.values()]) + 1
         self.bytes = [b""] * size
         for token, i in self.ids.items():
@@ -61,18 +60,31 @@ class Vocabulary:
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
         self.size = [len(token) for token in self.bytes]
-        #: the last merge inside each token: (left part, right part, rank)
-        self.made = {a + b: (a, b, rank) for (a, b), rank in self.ranks.items()}
-        #: finds every token of two bytes or more that ends at a byte, longest first
-        self.endings = ahocorasick.Automaton()
-        for token, i in self.ids.items():
-            if len(token) > 1:
-                self.endings.add_word(token.decode("latin-1"), i)
-        self.endings.make_automaton()
         self.single = [self.ids.get(bytes([b]), 0) for b in range(256)]
         self._whole: dict[int, bool] = {}
         self._pairs: dict[int, bool] = {}
 
+    @cached_property
+    def ranks(self) -> dict[tuple[bytes, bytes], int]:
+        letters = byte_alphabet()
+        pairs = (m.split(" ") if isinstance(m, str) else m for m in self._merges)
+        return {tuple(bytes(letters[c] for c in part) for part in pair): rank for rank, pair in enumerate(pairs)}
+
+    @cached_property
+    def made(self) -> dict[bytes, tuple[bytes, bytes, int]]:
+        """The last merge inside each token: left part, right part, rank."""
+        return {a + b: (a, b, rank) for (a, b), rank in self.ranks.items()}
+
+    @cached_property
+    def endings(self) -> ahocorasick.Automaton:
+        """Finds every token of two bytes or more that ends at a byte, longest first."""
+        found = ahocorasick.Automaton()
+        for token, i in self.ids.items():
+            if len(token) > 1:
+                found.add_word(token.decode("latin-1"), i)
+        found.make_automaton()
+        return found
+
     def whole(self, i: int) -> bool:
         """Whether plain BPE (join the pair of lowest rank, leftmost first) turns a token's bytes into it."""
         if (known := self._whole.get(i)) is None:
@@ -165,6 +177,8 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         #: chunk without the space before it -> ids with that space; None if its white space needs its surroundings
         self.chunks: dict[str, bytes | None] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes | None] = {}
 
     def _cut_chunk(self, chunk: str) -> list[str] | None:
         if chunk.isalpha():
@@ -175,17 +189,28 @@ class Encoder:
 
     def _spell(self, words: Iterable[str]) -> None:
         """Encode the words not seen before, all in one traversal."""
-        spelled = {word.encode(): word for word in words if word not in self.words}
+        old, spelled = self.old_words, {}
+        for word in words:
+            if word not in self.words:
+                if (known := old.get(word)) is not None:
+                    self.words[word] = known
+                else:
+                    spelled[word.encode()] = word
         for word, encoded in encode_words(self.vocabulary, spelled):
             self.words[spelled[word]] = encoded
 
     def _learn(self, chunks: set[str]) -> None:
         """Afterwards all these chunks are known; beyond the memory's bound the others are forgotten."""
         if len(self.chunks) + len(chunks) > MEMORY_WORDS:
-            self.chunks.clear()
+            self.chunks, self.old_chunks = {}, self.chunks
         if len(self.words) > MEMORY_WORDS:
-            self.words.clear()
-        cut = {chunk: self._cut_chunk(chunk) for chunk in chunks if chunk not in self.chunks}
+            self.words, self.old_words = {}, self.words
+        cut, old = {}, self.old_chunks
+        for chunk in chunks:
+            if chunk in old:
+                self.chunks[chunk] = old[chunk]
+            elif chunk not in self.chunks:
+                cut[chunk] = self._cut_chunk(chunk)
         self._spell({word for words in cut.values() if words for word in words})
         known = self.words
         for chunk, words in cut.items():
