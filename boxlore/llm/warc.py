@@ -30,7 +30,8 @@ from boxlore.llm.common import small_batches, written
 
 SMALLEST = 1000
 ARCHIVE_BYTES = 1 << 30
-STRETCH = 8 << 20
+STRETCH = 2 << 20
+TASK_BYTES = 32 << 20
 GAP = 64 << 10
 NAME = "urn:x-page:"
 DATE = "2000-01-01T00:00:00Z"
@@ -162,5 +163,7 @@ def read(chosen: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parsed), kinds)], names)
 
     stretch = (F.col("offset") / STRETCH).cast("long")
-    dealt = chosen.select("archive", "offset", "length", stretch.alias("stretch")).repartition("archive", "stretch")
+    total = chosen.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-total // TASK_BYTES))  # by what is read; index rows are too small to tell
+    dealt = chosen.select("archive", "offset", "length", stretch.alias("stretch")).repartition(tasks, "archive", "stretch")
     return dealt.sortWithinPartitions("archive", "offset").select("archive", "offset", "length").mapInArrow(work, RECORD)
