@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boxlore.llm import byte_bpe, exact_dedup, html_text, jaccard_join, packing, quality, substring_dedup, token_counts, warc
+from boxlore.llm import byte_bpe, exact_dedup, html_text, jaccard_join, near_vectors, packing, quality, substring_dedup, token_counts, warc
 from boxlore.llm.common import scratch, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.summarize(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
