@@ -10,7 +10,8 @@ A passage counts from ``WINDOW`` words on, so of each suffix only the path of it
 2. The stretches left get the path hash of each of their windows.  Prefixes with at most
    ``GROUP`` stretches make groups that fit in memory; a task walks its groups in order and
    sorts the paths in each, and equal neighbours are the deep nodes.  Prefixes with more
-   stretches are lengthened to whole paths, which are counted with partial sums and joined.
+   stretches are lengthened to whole paths: equal stretches are taken together, their paths
+   counted with partial sums, and the deep ones joined back, one row per stretch.
 3. Overlapping windows merge into repeats, and the words they cover go.
 
 Copies of a whole text are one text here, with a count: nothing of it stays if it has
@@ -195,10 +196,16 @@ def repeated_windows(stretch_rows: DataFrame) -> DataFrame:
     """(c, at): starts of windows that occur elsewhere too."""
     rows = written(stretch_rows, "paths")
     small = rows.where("NOT large").repartition("prefix").sortWithinPartitions("prefix").select("prefix", "c", "first", "paths")
-    single = rows.where("large").select("prefix", "c", "first", F.posexplode("paths").alias("k", "path"))
-    single = single.select("prefix", "path", "c", (F.col("first") + F.col("k")).cast("long").alias("at"))
-    nodes = written(single.groupBy("prefix", "path").count().where("count > 1").select("prefix", "path"), "deep-nodes")
-    return small.mapInArrow(equal_paths, "c long, at long").unionByName(single.join(nodes, ["prefix", "path"]).select("c", "at"))
+    # copies share whole stretches: equal ones are listed and counted as one
+    large = rows.where("large").select("prefix", "paths", "c", "first")
+    shapes = written(large.groupBy("prefix", "paths").agg(F.count("*").alias("n")), "large-stretches")
+    single = shapes.select("prefix", "paths", "n", F.posexplode("paths").alias("k", "path"))
+    nodes = single.groupBy("prefix", "path").agg(F.sum("n").alias("n")).where("n > 1").select("prefix", "path")
+    deep = written(
+        single.join(nodes, ["prefix", "path"]).groupBy("prefix", "paths").agg(F.collect_list("k").alias("deep")), "deep-nodes")
+    met = large.join(deep, ["prefix", "paths"]).select("c", "first", F.explode("deep").alias("k"))
+    return small.mapInArrow(equal_paths, "c long, at long").unionByName(
+        met.select("c", (F.col("first") + F.col("k")).cast("long").alias("at")))
 
 
 def without(words: list[bytes], starts: list[int]) -> list[bytes]:
