@@ -228,7 +228,7 @@ _WORDS = """w AS (SELECT doc_id, list_filter(regexp_extract_all(strip_accents(lo
 
 
 @query("topic_vocabulary_size", f"""
-WITH {_WORDS.replace("'[MESSAGE] ' || text", "text")} SELECT count(DISTINCT t) AS n FROM (SELECT unnest(tokens) AS t FROM w WHERE doc_id < 20000)""")
+WITH {_WORDS.replace("'[MESSAGE] ' || text", "text")} SELECT count(DISTINCT t) AS n FROM (SELECT unnest(tokens) AS t FROM w)""")
 def _(spark, sf):
     d = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), words(F.col("text")).alias("tokens"))
     return topics.vocabulary(d).agg(F.count("*").alias("n"))

@@ -23,8 +23,8 @@ def _log_stream(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
 @query("stream_row_counts", "SELECT rxid AS table_name, count(*) AS row_count FROM logs GROUP BY rxid ORDER BY 2 DESC, 1 LIMIT 20")
 def _(spark, sf):
     rows, folder = _log_stream(spark, sf)
-    counts.start_largest(rows, f"{folder}/top", f"{folder}/checkpoint", 20, None).awaitTermination()
-    return read_latest(spark, f"{folder}/top")
+    counts.start_counts(rows, f"{folder}/counts", f"{folder}/checkpoint", None).awaitTermination()
+    return counts.read_largest(spark, f"{folder}/counts", 20)
 
 
 @query("stream_sessions", """

@@ -7,13 +7,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from boxlore.functions import fixed_values as fixed
 from boxlore.functions.text import contains_any, group_or_null
 
+WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+
 #: (text every match contains or None, pattern, output column of each group)
 FieldSpec = tuple[str | None, str, list[str]]
 
 
 def field_columns(data: Column, fields: list[FieldSpec] | None = None) -> dict[str, Column]:
     """One nullable column per field; ``fields`` adds user-defined patterns."""
-    text = F.btrim(F.trim(data), F.lit('"'))
+    text = F.btrim(F.btrim(data, F.lit(WHITE_SPACE)), F.lit('"'))
     out: dict[str, Column] = {
         "customer_marked_flag": F.when(contains_any(text, fixed.MARK_TEXTS), F.lit("YES")),
     }

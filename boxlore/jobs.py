@@ -60,7 +60,9 @@ def log_rows(parsed: DataFrame, dataset: str) -> DataFrame:
     rows = store.fill_in(parsed, file_name(path))
     rows = rows.withColumn("source_table", store.source_table(receiver_of_path(path), path))
     rows = store.with_provenance(rows, F.col("source_table"))
-    rows = rows.withColumns({"id": F.xxhash64("path", "line_no"), "dataset": F.lit(dataset)})
+    # unique, and in line order within a file, so that rows of one stamp keep their order
+    row_id = F.concat(F.md5("path"), F.lit("-"), F.lpad(F.coalesce("line_no", F.lit(0)).cast("string"), 12, "0"))
+    rows = rows.withColumns({"id": row_id, "dataset": F.lit(dataset)})
     keep = [c for c in rows.columns if c not in ("path", "file_name", "file_hash", "format")]
     return rows.select(*keep)
 
@@ -99,21 +101,21 @@ def ingest(spark: SparkSession, source: str, root: str, reference_year: int, dat
 # --- enrich -----------------------------------------------------------------------------
 
 
-def choose_columns(logs: DataFrame, root: str, sample: int = 10_000) -> list[str]:
+def choose_columns(logs: DataFrame, root: str) -> list[str]:
     """Telling text columns over all receivers, refined by their history."""
     spark = logs.sparkSession
     skip = {"rxid", "rxid2", "source_table", "directory_file", "data_hash", "message", "dataset"}
     names = [c for c in enrich.text_columns(logs) if c not in skip]
-    sampled = mutual_info.sample_rows(logs.select("rxid", "id", *names), sample)
-    found = [r["column"] for r in mutual_info.columns_of_any(mutual_info.relevant_columns(sampled, names)).collect()]
+    rows = logs.select("rxid", "id", *names)
+    found = [r["column"] for r in mutual_info.columns_of_any(mutual_info.relevant_columns(rows, names)).collect()]
     history = tables.read_latest(spark, f"{root}/column_history")
     if history is None:
         history = spark.createDataFrame([], "column string, low_runs int")
-    kept, history = mutual_info.refine_columns(mutual_info.global_scores(sampled, found), history)
+    kept, history = mutual_info.refine_columns(mutual_info.global_scores(rows, found), history)
     kept = cut_lineage(kept)
     tables.write_next(history, f"{root}/column_history")
     tables.write_next(mutual_info.grow_master(tables.read_latest(spark, f"{root}/master_columns"), kept), f"{root}/master_columns")
-    return [r["column"] for r in kept.orderBy(F.desc("mi"), "column").collect() if r["column"] != "event_type"]  # <= 128 names
+    return [r["column"] for r in kept.orderBy(F.desc("mi"), "column").collect() if r["column"] != "event_type"]  # one name per column of the table
 
 
 def train(logs: DataFrame, root: str, model_type: str = "RandomForest", **options):
@@ -135,6 +137,21 @@ def enrich_logs(logs: DataFrame, model=None, columns: list[str] | None = None) -
     return significance.boost_marked(significance.significance(rows, features))
 
 
+def enrich_stored(spark: SparkSession, root: str, receiver: str | None = None, start=None, end=None) -> None:
+    """Enrich stored logs.  With a receiver or times only those rows are replaced, all
+    others stay as they are; without a trained model labels come from the rules alone."""
+    path, model, columns = classify.model_path(f"{root}/models", "event_type"), None, None
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        model, config = classify.load_model(spark, path)
+        columns = config["columns"]
+    rows = enrich_logs(tables.read_logs(spark, f"{root}/logs", receiver, start, end), model, columns)
+    if receiver is None and start is None and end is None:
+        tables.write_next(rows, f"{root}/enriched")
+    else:  # written once, as the upsert reads the keys and the rows
+        tables.upsert_table(cut_lineage(rows), f"{root}/enriched", ["id"])
+
+
 # --- anomalies ------------------------------------------------------------------------------
 
 
@@ -182,8 +199,6 @@ def main(argv: list[str] | None = None) -> None:
         _, config = train(tables.read_logs(spark, f"{args.root}/logs", args.receiver, args.start, args.end), args.root, args.model)
         print(json.dumps(config, indent=2))
     elif args.job == "enrich":
-        logs = tables.read_logs(spark, f"{args.root}/logs", args.receiver, args.start, args.end)
-        model, config = classify.load_model(spark, classify.model_path(f"{args.root}/models", "event_type"))
-        tables.write_next(enrich_logs(logs, model, config["columns"]), f"{args.root}/enriched")
+        enrich_stored(spark, args.root, args.receiver, args.start, args.end)
     else:
         publish(score(tables.read_latest(spark, f"{args.root}/enriched")), args.root)

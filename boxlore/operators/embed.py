@@ -28,11 +28,6 @@ def newer_rows(df: DataFrame, embedded: DataFrame, column: str = "source_table")
     return joined.where(F.col("_mark").isNull() | (F.col("timestamp") > F.col("_mark"))).drop("_mark")
 
 
-def oldest_rows(df: DataFrame, limit: int = 500_000) -> DataFrame:
-    """The first ``limit`` rows by time (a reporting cut)."""
-    return df.orderBy("timestamp", "id").limit(limit)
-
-
 def with_timestamps(df: DataFrame, run_time: Column) -> DataFrame:
     """Missing stamps become the run time and are flagged."""
     stamp, imputed = missing_filled(F.col("timestamp"), run_time)

@@ -74,15 +74,14 @@ def hybrid_columns(df: DataFrame, columns: list[str], k: int = 5, keys: list[str
 
 
 def global_scores(df: DataFrame, columns: list[str], min_count: int = 1) -> DataFrame:
-    """(column, mi) over labelled rows; values are cut at 10,000 characters, and a
-    column with at most ``min_count`` values scores 0."""
+    """(column, mi) over labelled rows and whole values; a column with at most
+    ``min_count`` values scores 0."""
     labelled = df.where(F.coalesce(F.col(LABEL), F.lit("")) != "")
-    cut = lambda c: F.substring(F.coalesce(c, F.lit("None")), 1, 10_000)
-    scores = mutual_information(labelled, columns, F.col(LABEL), [], cut)
+    scores = mutual_information(labelled, columns, F.col(LABEL), [], lambda c: F.coalesce(c, F.lit("None")))
     return scores.select("column", F.when(F.col("n_values") <= min_count, 0.0).otherwise(F.col("mi")).alias("mi"))
 
 
-def refine_columns(scores: DataFrame, history: DataFrame, min_mi: float = 1e-4, max_columns: int = 128,
+def refine_columns(scores: DataFrame, history: DataFrame, min_mi: float = 1e-4, max_columns: int | None = None,
                    patience: int = 10) -> tuple[DataFrame, DataFrame]:
     """(kept columns, new history).  A column stays while its score is high enough or
     was low for fewer than ``patience`` runs in a row; the label always stays."""
@@ -92,7 +91,7 @@ def refine_columns(scores: DataFrame, history: DataFrame, min_mi: float = 1e-4,
     stable = updated.where(~low | (F.col("low_runs") < patience)).select("column", "mi")
     label = scores.sparkSession.range(1).select(F.lit(LABEL).alias("column"), F.lit(0.0).alias("mi"))
     stable = stable.unionByName(label).groupBy("column").agg(F.max("mi").alias("mi"))
-    kept = stable.orderBy(F.desc("mi"), "column").limit(max_columns)
+    kept = stable if max_columns is None else stable.orderBy(F.desc("mi"), "column").limit(max_columns)
     gone = history.join(scores.select("column"), "column", "left_anti").select("column", "low_runs")
     return kept, updated.select("column", "low_runs").unionByName(gone)
 

@@ -23,10 +23,9 @@ def message_words(message: Column) -> Column:
     return words(mask_addresses(label_line(message)))
 
 
-def vocabulary(df: DataFrame, tokens: str = "tokens", first: int = 20_000, order: str = "id") -> DataFrame:
-    """Distinct words of the first messages."""
-    head = df.orderBy(order).limit(first)
-    return head.select(F.explode(tokens).alias("term")).distinct()
+def vocabulary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """Distinct words of all messages."""
+    return df.select(F.explode(tokens).alias("term")).distinct()
 
 
 def fit_topics(df: DataFrame, k: int, tokens: str = "tokens", vocabulary_size: int = 20_000, iterations: int = 10) -> PipelineModel:

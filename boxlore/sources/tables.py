@@ -69,11 +69,6 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def insert_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` whose keys are not yet in ``old``."""
-    return new.join(old.select(*keys), keys, "left_anti")
-
-
 # --- versioned folders: a table is replaced by writing its next version ------------
 
 
@@ -150,10 +145,3 @@ def read_logs(spark: SparkSession, path: str, rxid: str | None = None, start=Non
     if end is not None:
         df = df.where(F.col("day") <= F.to_date(F.lit(end)))
     return between(df, start, end)
-
-
-def optional(column: Column, op: str, value) -> Column | None:
-    """``column op value``, or None when no value is given."""
-    if value is None:
-        return None
-    return {">=": column >= value, "<=": column <= value, "=": column == value}[op]

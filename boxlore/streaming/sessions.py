@@ -21,16 +21,19 @@ def merge_batch(rows: DataFrame, still_open: DataFrame | None) -> DataFrame:
     """Sessions of a batch joined to the sessions left open before it.
 
     ``is_open`` marks the last session of each receiver.  Rows before the first
-    marker of the batch continue the open session."""
+    marker of the batch continue the open session; where that one was closed by a
+    timeout (``is_closed``), they start a new one, and numbers go on from it."""
     numbered = number_sessions(rows)
     last = numbered.groupBy("rxid", "session_no").agg(F.max("timestamp").alias("last_timestamp"))
     fresh = session_summary(numbered).join(last, ["rxid", "session_no"])
     if still_open is not None:
-        start = still_open.select("rxid", F.col("session_no").alias("_base"))
+        start = still_open.select("rxid", F.col("session_no").alias("_base"), F.col("is_closed").alias("_closed"))
+        first = F.min("session_no").over(W.partitionBy("rxid"))
+        after_closed = F.when(F.col("_closed") & (first == 0), 1).otherwise(0)
         fresh = fresh.join(start, "rxid", "left").withColumn(
-            "session_no", F.col("session_no") + F.coalesce("_base", F.lit(0))
-        ).drop("_base")
-        fresh = fresh.unionByName(still_open.select(fresh.columns))
+            "session_no", F.col("session_no") + F.coalesce("_base", F.lit(0)) + after_closed
+        ).drop("_base", "_closed")
+        fresh = fresh.unionByName(still_open.where("NOT is_closed").select(fresh.columns))
     merged = fresh.groupBy("rxid", "session_no").agg(
         F.min("change_content_timestamp").alias("change_content_timestamp"),
         F.max("svc_name").alias("svc_name"),
@@ -58,12 +61,16 @@ def start_sessions(rows: DataFrame, output: str, state: str, checkpoint: str, ti
         # the merged summaries are used twice and are small next to the rows
         merged.write.mode("overwrite").parquet(f"{state}/merged={batch_id}")
         merged = spark.read.parquet(f"{state}/merged={batch_id}")
-        stays = F.col("is_open")
+        late = F.lit(False)
         if timeout_seconds is not None:
             newest = F.unix_seconds(merged.agg(F.max("last_timestamp").alias("t")).scalar())
-            stays = stays & (F.unix_seconds("last_timestamp") >= newest - timeout_seconds)
-        merged.where(~stays).drop("is_open").write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
-        merged.where(stays).drop("is_open").write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+            late = F.coalesce(F.unix_seconds("last_timestamp") < newest - timeout_seconds, F.lit(False))
+        merged.where(~F.col("is_open") | late).drop("is_open").write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        # closed receivers stay in the state for their last number
+        kept = merged.where("is_open").withColumn("is_closed", late).drop("is_open")
+        if before is not None:
+            kept = kept.unionByName(before.where("is_closed").join(merged.select("rxid").distinct(), "rxid", "left_anti"))
+        kept.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
 
     writer = rows.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

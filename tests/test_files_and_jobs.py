@@ -135,10 +135,13 @@ def test_streamed_sessions_equal_batch(spark, tmp_path):
 def test_streamed_counts_equal_batch(spark, tmp_path):
     rows, path = _parts(spark, tmp_path, 2)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    query = count_stream.start_largest(stream, str(tmp_path / "top"), str(tmp_path / "cp"), 1000, None)
+    query = count_stream.start_counts(stream, str(tmp_path / "top"), str(tmp_path / "cp"), None)
     query.awaitTermination(120)
     got = {r["table_name"]: r["row_count"] for r in tables.read_latest(spark, str(tmp_path / "top")).collect()}
-    assert got == {r["rxid"]: r["count"] for r in rows.groupBy("rxid").count().collect()}
+    want = {r["rxid"]: r["count"] for r in rows.groupBy("rxid").count().collect()}
+    assert got == want
+    top = [(r["table_name"], r["row_count"]) for r in count_stream.read_largest(spark, str(tmp_path / "top"), 2).collect()]
+    assert top == sorted(want.items(), key=lambda x: (-x[1], x[0]))[:2]
 
 
 def test_streamed_embedding_sees_each_row_once(spark, tmp_path):
