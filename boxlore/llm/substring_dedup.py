@@ -193,7 +193,7 @@ def equal_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_windows(stretch_rows: DataFrame) -> DataFrame:
-    """(c, at): starts of windows that occur elsewhere too."""
+    """(c, starts) of the windows that occur elsewhere too."""
     rows = written(stretch_rows, "paths")
     small = rows.where("NOT large").repartition("prefix").sortWithinPartitions("prefix").select("prefix", "c", "first", "paths")
     # copies share whole stretches: equal ones are listed and counted as one
@@ -203,9 +203,11 @@ def repeated_windows(stretch_rows: DataFrame) -> DataFrame:
     nodes = single.groupBy("prefix", "path").agg(F.sum("n").alias("n")).where("n > 1").select("prefix", "path")
     deep = written(
         single.join(nodes, ["prefix", "path"]).groupBy("prefix", "paths").agg(F.collect_list("k").alias("deep")), "deep-nodes")
-    met = large.join(deep, ["prefix", "paths"]).select("c", "first", F.explode("deep").alias("k"))
-    return small.mapInArrow(equal_paths, "c long, at long").unionByName(
-        met.select("c", (F.col("first") + F.col("k")).cast("long").alias("at")))
+    met = large.join(deep, ["prefix", "paths"])
+    starts = F.transform("deep", lambda k: (F.col("first") + k).cast("long"))  # per stretch, not per window
+    found = small.mapInArrow(equal_paths, "c long, at long").select("c", F.array("at").alias("starts")).unionByName(
+        met.select("c", starts.alias("starts")))
+    return found.groupBy("c").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
 
 
 def without(words: list[bytes], starts: list[int]) -> list[bytes]:
@@ -219,8 +221,7 @@ def without(words: list[bytes], starts: list[int]) -> list[bytes]:
 def repeats(docs: DataFrame, described: DataFrame) -> DataFrame:
     """(class, id, mark, copies, starts) of the texts with repeats; no starts where copies go as a whole."""
     texts, stretch_rows = filed(docs, described)
-    starts = repeated_windows(stretch_rows).distinct().groupBy("c").agg(F.collect_list("at").alias("starts"))
-    found = texts.drop("found").where("copies = 1").join(starts, "c").select("class", "id", "mark", "copies", "starts")
+    found = texts.drop("found").where("copies = 1").join(repeated_windows(stretch_rows), "c").select("class", "id", "mark", "copies", "starts")
     whole = described.where(F.size("stretches") > 0).groupBy("class").agg(
         F.first("id").alias("id"), F.first("mark").alias("mark"), F.count("*").alias("copies")).where("copies > 1")
     none = F.array().cast("array<long>").alias("starts")
