@@ -8,7 +8,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boxlore.llm import byte_bpe, exact_dedup, html_text, jaccard_join, near_vectors, packing, quality, substring_dedup, token_counts, warc
+from boxlore.llm import (
+    byte_bpe, exact_dedup, hard_negatives, html_text, jaccard_join, max_score, near_vectors, packing, quality, ranked_search, substring_dedup,
+    token_counts, warc,
+)
 from boxlore.llm.common import scratch, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +119,68 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("""
+    WITH v AS (
+        SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+        FROM v q JOIN v c ON len(q.e) = len(c.e) AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
+    SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 20
+""")
+def op11_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = max_score.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("""
+    WITH v AS (
+        SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e,
+               CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (
+        SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+        FROM v a JOIN v c ON len(a.e) = len(c.e) AND a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (
+        SELECT * FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+    n AS (
+        SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+               row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS place
+        FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+    SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE place <= 5
+""")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+@query(r"""
+    WITH cut AS (
+        SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS upper, lower(upper) AS lower, '[^\x00-/:-@\[-`{-\x7F]+' AS term),
+    d AS (SELECT doc_id, regexp_extract_all(translate(text, cut.upper, cut.lower), cut.term) AS terms FROM documents, cut),
+    i AS (
+        SELECT item_id, term, count(*) AS repeats
+        FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, cut.upper, cut.lower), cut.term)) AS term FROM benchmark, cut)
+        GROUP BY ALL),
+    total AS (SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS length FROM d WHERE len(terms) > 0),
+    tf AS (
+        SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d)
+        WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+    w AS (
+        SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term),
+    c AS (
+        SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // length))) AS value
+        FROM tf JOIN w USING (term), total),
+    s AS (SELECT item_id, doc_id, CAST(sum(repeats * value) AS BIGINT) AS score FROM i JOIN c USING (term) GROUP BY ALL HAVING score > 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM s)
+    SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM r WHERE place <= 20
+""")
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
