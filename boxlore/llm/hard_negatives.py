@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from boxlore.llm.one_bit import Codes
-from boxlore.llm.vector_shards import COMPONENTS, as_long, exact_type, first, largest, meet, packed, whole_numbers
+from boxlore.llm.vector_shards import COMPONENTS, LARGEST, as_long, exact_type, first, largest, meet, packed, whole_numbers
 
 SCALE = 256
 ANCHOR_COMPONENTS = 1 << 15
@@ -46,6 +46,7 @@ class Shard:
         """Places and scores of the k best of the rows that ``may`` allows."""
         allowed = np.flatnonzero(may)
         estimate, _, upper = self.codes.interval(query, turned, allowed)
+        upper = np.maximum(upper, -LARGEST)
         tried = allowed[np.argpartition(-estimate, TRIED)[:TRIED]] if len(allowed) > TRIED else allowed
         if len(tried) >= k:
             allowed = allowed[upper >= np.sort(self.scores(query, tried))[-k]]
@@ -59,6 +60,7 @@ class Shard:
         """For each window of scores (both ends belong to it): places and scores of its k best allowed rows."""
         allowed = np.flatnonzero(may)
         estimate, lower, upper = self.codes.interval(query, turned, allowed)
+        lower, upper = np.minimum(lower, LARGEST), np.maximum(upper, -LARGEST)  # as scores are cut
         wanted = np.zeros(len(allowed), bool)
         for low, high in windows:
             meets = (upper >= low) & (lower <= high)

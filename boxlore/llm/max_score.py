@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from boxlore.llm.vector_shards import COMPONENTS, as_long, exact_type, first, largest, meet, packed, whole_numbers
+from boxlore.llm.vector_shards import COMPONENTS, LARGEST, as_long, exact_type, first, largest, meet, packed, whole_numbers
 
 SCALE = 64
 QUERY_COMPONENTS = 1 << 16
@@ -76,7 +76,7 @@ class Postings:
             scores = scores + weights[probed] @ (self.lists[probed] if rows is None else self.lists[probed[:, None], rows])
             at += len(probed)
         rows = np.arange(len(scores)) if rows is None else rows
-        rows, scores = rows[rows != own], scores[rows != own]
+        rows, scores = rows[rows != own], as_long(scores[rows != own])
         top = np.argsort(-scores, kind="stable")[:k]
         return rows[top], scores[top]
 
@@ -87,8 +87,10 @@ class Postings:
         seeds = seeds[seeds != own]
         if len(seeds) < k:
             return None
-        scores = weights @ self.lists[:, seeds]
-        return np.sort(scores)[len(seeds) - k]
+        to_beat = np.sort(weights @ self.lists[:, seeds])[len(seeds) - k]
+        if to_beat <= -LARGEST:  # all such scores count as equal
+            return None
+        return min(to_beat, LARGEST) if self.lists.dtype == object else to_beat
 
 
 def search(table: DataFrame, asks: Column, k: int, key: str = "vec_id", values: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -106,7 +108,7 @@ def search(table: DataFrame, asks: Column, k: int, key: str = "vec_id", values:
         rows = np.concatenate([rows for rows, _ in found])
         return pd.DataFrame({
             "query_row": np.repeat(query_rows, sizes), "query_id": np.repeat(query_ids, sizes), "row": members[rows], "id": ids[rows],
-            "score": as_long(np.concatenate([scores for _, scores in found])),
+            "score": np.concatenate([scores for _, scores in found]),
         })
 
     found = meet(shards, blocks, work, "query_row long, query_id long, row long, id long, score long")
