@@ -7,8 +7,9 @@ of a batch, sorted, form a trie in depth-first order; every node needs only its
 token, words that share a prefix share its nodes, and a word is read off by walking
 back from its end.  Long words cost time in proportion to their length.
 
-Words already seen by a task are remembered, up to ``MEMORY_WORDS`` of them; beyond that
-a new generation begins and takes over only what is met again, which changes no result.
+Words already seen by a task are remembered; once there are ``MEMORY_WORDS`` of them, the next
+batch begins a new generation, which takes over only what is met again and changes no
+result.  So a task holds two generations and the words of one batch of ``BATCH_BYTES``.
 
 Defined results: null text counts as empty; the empty text has no ids; the text of a
 special token is that token's id wherever it occurs.  Repeated rows are encoded each.
@@ -32,6 +33,7 @@ from boxlore.llm.common import small_batches
 #: the pattern of this family of tokenizers that cuts text into words (fixed value)
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MEMORY_WORDS = 200_000
+BATCH_BYTES = 4 << 20
 NEVER = 1 << 60
 
 
@@ -199,12 +201,15 @@ class Encoder:
         for word, encoded in encode_words(self.vocabulary, spelled):
             self.words[spelled[word]] = encoded
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Afterwards all these chunks are known; beyond the memory's bound the others are forgotten."""
-        if len(self.chunks) + len(chunks) > MEMORY_WORDS:
+    def _next_generation(self) -> None:
+        """Between batches: beyond the memory's bound, words not met again are forgotten."""
+        if len(self.chunks) > MEMORY_WORDS:
             self.chunks, self.old_chunks = {}, self.chunks
         if len(self.words) > MEMORY_WORDS:
             self.words, self.old_words = {}, self.words
+
+    def _learn(self, chunks: Iterable[str]) -> None:
+        """Afterwards all these chunks are known."""
         cut, old = {}, self.old_chunks
         for chunk in chunks:
             if chunk in old:
@@ -248,15 +253,13 @@ class Encoder:
         return b"".join([*out, self._plain(text[at:])])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Learn the distinct new chunks of the batch in few traversals, then spell every text."""
-        fresh: set[str] = set()
+        """Learn the distinct new chunks of the batch in one traversal, then spell every text."""
+        self._next_generation()
         known = self.chunks
+        fresh: set[str] = set()
         for text in texts:
-            fresh.update([chunk for chunk in text.split(" ")[1:] if chunk not in known])
-            if len(fresh) > MEMORY_WORDS // 4:
-                self._learn(fresh)
-                fresh.clear()
-        self._learn(fresh)
+            fresh.update(text.split(" ")[1:])
+        self._learn(fresh - known.keys())
         return [self.encode(text) for text in texts]
 
     def decode(self, ids: bytes) -> str:
@@ -277,7 +280,7 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, BATCH_BYTES):
             ids = bpe.encode_batch([value or "" for value in batch.column(1).to_pylist()])
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary())], ["key", "n_tokens", "ids"])

@@ -96,3 +96,15 @@ def test_repeated_rows_and_buckets(spark, tmp_path):
     assert pieces.count() == 3
     packing.write_buckets(pieces, f"{tmp_path}/buckets")
     assert {r.bucket for r in spark.read.parquet(f"{tmp_path}/buckets").collect()} == {4}
+
+
+def test_a_batch_is_learned_once(library, monkeypatch):
+    """Generations change between batches only, so a batch never forgets what it has learned."""
+    monkeypatch.setattr(byte_bpe, "MEMORY_WORDS", 20)
+    ours, calls = byte_bpe.Encoder(PATH), []
+    learn = ours._learn
+    monkeypatch.setattr(ours, "_learn", lambda chunks: (calls.append(1), learn(chunks)))
+    made = [" ".join(f"w{k}y{j}" for k in range(60)) for j in range(40)]
+    for batch in (made[:20], made[20:], made[:20]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in ours.encode_batch(batch)] == [ids_of(library, t) for t in batch]
+    assert len(calls) == 3 and len(ours.chunks) <= 20 * 60
