@@ -32,8 +32,8 @@ from boxlore.llm.common import small_batches
 
 #: the pattern of this family of tokenizers that cuts text into words (fixed value)
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMORY_WORDS = 200_000
-BATCH_BYTES = 4 << 20
+MEMORY_WORDS = 120_000
+BATCH_BYTES = 2 << 20
 NEVER = 1 << 60
 
 
