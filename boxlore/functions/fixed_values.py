@@ -149,6 +149,8 @@ ALWAYS_TEXT = ["data", "info", "details"]
 RECEIVER = r"R\d{10}"
 UNKNOWN_RECEIVER = "UNKNOWN_RXID"
 # what Python's str.splitlines treats as an end of line
+#: line ends besides line feed and carriage return
+RARE_LINE_ENDS = "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 MAC_ADDRESS = (
     r"\b([0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2})\b"

@@ -11,7 +11,7 @@ from boxlore.operators import anomaly, classify, enrich, gather, mutual_info, pa
 from boxlore.plans.ordered import SEGMENT
 from boxlore.session import cut_lineage
 from boxlore.sources import files as file_source
-from boxlore.sources import registry, tables
+from boxlore.sources import folders, hash_index, registry, tables
 
 
 # --- ingest -----------------------------------------------------------------------
@@ -19,39 +19,17 @@ from boxlore.sources import registry, tables
 
 def _read_if_any(spark: SparkSession, path: str) -> DataFrame | None:
     """A table that may not exist yet, or may have been written without rows."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return None
-    filled = any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(folder))
-    return spark.read.parquet(path) if filled else None
-
-
-def parse_files(files: DataFrame, reference_year: int) -> DataFrame:
-    """Whole-file rows to log rows; the format is chosen per file before the lines are cut."""
-    first = F.regexp_extract("content", r"\A([^\n\r]*)", 1)
-    routed = files.withColumn("format", parse.file_format(first, F.col("file_name")))
-    lines = file_source.lines_of_files(routed.where("format <> 'trap'"))
-    parts = [
-        parse.parse_lines(lines.where("format = 'lines'"), reference_year),
-        parse.parse_var(lines.where("format = 'var'")),
-        parse.parse_trap(parse.trap_blocks(routed.where("format = 'trap'"))),
-    ]
-    return tables.stack(parts)
-
-
-def parse_large_files(lines: DataFrame, reference_year: int) -> DataFrame:
-    """The same for files read line by line."""
-    first = file_source.first_lines(lines)
-    routed = lines.join(first, "path").withColumn(
-        "format", parse.file_format(F.col("first_line"), F.col("file_name"))).drop("first_line")
-    parts = [
-        parse.parse_lines(routed.where("format = 'lines'"), reference_year),
-        parse.parse_var(routed.where("format = 'var'").drop(SEGMENT)),
-        parse.parse_trap(parse.trap_blocks_of_lines(routed.where("format = 'trap'"))),
-    ]
-    return tables.stack(parts)
+    return spark.read.parquet(path) if folders.filled(spark, path) else None
+
+
+def parse_files(lines: DataFrame, reference_year: int) -> DataFrame:
+    """Numbered lines with the ``format`` of their file to log rows."""
+    of = lambda name: lines.where(F.col("format") == name)
+    return tables.stack([
+        parse.parse_lines(of("lines"), reference_year),
+        parse.parse_var(of("var").drop(SEGMENT)),
+        parse.parse_trap(parse.trap_blocks_of_lines(of("trap"))),
+    ])
 
 
 def log_rows(parsed: DataFrame, dataset: str) -> DataFrame:
@@ -67,35 +45,45 @@ def log_rows(parsed: DataFrame, dataset: str) -> DataFrame:
     return rows.select(*keep)
 
 
-def store_files(files: DataFrame, root: str, reference_year: int, dataset: str = "main", dedupe: str = "data") -> None:
-    """Store the new rows of the new files, then note the files as imported.
-
-    In this order a crash in between leads to a second look at the files, whose
-    rows are then found in the store."""
-    spark = files.sparkSession
-    known, stored = _read_if_any(spark, f"{root}/imports"), _read_if_any(spark, f"{root}/logs")
-    rows = log_rows(parse_files(registry.new_files(files, known), reference_year), dataset)
-    tables.write_logs(store.dedupe(rows, stored, dedupe), f"{root}/logs")
-    fresh = registry.imports(files, known, F.current_timestamp())
-    fresh.write.mode("append").parquet(f"{root}/imports")
+def batch_name(files: DataFrame) -> str | None:
+    """A name that the same set of new files always gets; None where there are no files."""
+    count, mark = files.agg(F.count("*"), F.bit_xor(F.xxhash64("file_hash"))).first()
+    return f"{count}-{mark & ((1 << 64) - 1):016x}" if count else None
+
+
+def store_lines(raw: DataFrame, root: str, reference_year: int, dataset: str = "main", dedupe: str = "data",
+                groups: int = tables.GROUPS) -> None:
+    """Store the new rows of the new files among ``raw`` text rows, then note the files as imported.
+
+    The text is read twice: once to sum up its blocks (line counts, hashes, first lines) and
+    once to parse the files whose content is new.  What is stored already is asked of an index
+    beside the table.  The rows of a batch are in a folder of their own, so a batch that is
+    repeated after a crash replaces its rows; its keys are learned next, its files noted last."""
+    spark = raw.sparkSession
+    index = hash_index.open_index(spark, f"{root}/messages_by_{dedupe}", store.dedupe_keys(dedupe), groups)
+    index.recover(f"{root}/logs")
+    lines = file_source.cut_lines(raw)
+    placed = cut_lineage(file_source.placed_blocks(file_source.summed_blocks(lines)))
+    files, known = file_source.files_of(placed), _read_if_any(spark, f"{root}/imports")
+    fresh = cut_lineage(registry.new_files(files, known))
+    batch = batch_name(fresh)
+    if batch is None:
+        return
+    fresh_blocks = placed.join(
+        fresh.select("path", parse.file_format(F.col("first_line"), F.col("file_name")).alias("format")), "path")
+    numbered = file_source.numbered_lines(lines, fresh_blocks)
+    rows = cut_lineage(store.dedupe(log_rows(parse_files(numbered, reference_year), dataset), how=dedupe))
+    tables.write_logs(index.unseen(rows, batch), f"{root}/logs/batch={batch}", "overwrite", groups)
+    stored = _read_if_any(spark, f"{root}/logs/batch={batch}")
+    if stored is not None:
+        index.learn(stored, batch)
+    registry.imports(fresh, known, F.current_timestamp()).write.mode("append").parquet(f"{root}/imports")
 
 
 def ingest(spark: SparkSession, source: str, root: str, reference_year: int, dataset: str = "main",
-           name_contains: str | None = None, dedupe: str = "data",
-           whole_file_bytes: int = file_source.WHOLE_FILE_BYTES) -> None:
-    """All files under ``source``: small ones as whole rows, large ones by lines."""
-    store_files(file_source.read_files(spark, source, name_contains, whole_file_bytes), root, reference_year, dataset, dedupe)
-    lines = file_source.read_large_lines(spark, source, name_contains, whole_file_bytes)
-    if lines.isEmpty():
-        return
-    # numbering and hashing look at every line; do that once
-    lines = cut_lineage(lines)
-    hashes = file_source.large_file_hashes(lines)
-    known, stored = _read_if_any(spark, f"{root}/imports"), _read_if_any(spark, f"{root}/logs")
-    fresh = registry.new_files(hashes, known)
-    rows = log_rows(parse_large_files(lines.join(fresh.select("path"), "path", "left_semi"), reference_year), dataset)
-    tables.write_logs(store.dedupe(rows, stored, dedupe), f"{root}/logs")
-    registry.imports(hashes, known, F.current_timestamp()).write.mode("append").parquet(f"{root}/imports")
+           name_contains: str | None = None, dedupe: str = "data", groups: int = tables.GROUPS) -> None:
+    """All files under ``source``, whatever their size; ``groups`` of receivers make the folders of a day."""
+    store_lines(file_source.raw_lines(spark, source, name_contains), root, reference_year, dataset, dedupe, groups)
 
 
 # --- enrich -----------------------------------------------------------------------------

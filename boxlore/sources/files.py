@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from boxlore.functions import fixed_values as fixed
+from boxlore.functions import fixed_values as fixed, rolling_hash
 from boxlore.functions.text import file_name
 from boxlore.plans.ordered import SEGMENT
 
-#: Files up to this size are read as one row each; larger ones line by line.
-WHOLE_FILE_BYTES = 256 * 1024 * 1024
-
 
 def valid_text(text: Column) -> Column:
     """Text without the bytes that are no UTF-8; valid text (nearly all) is only checked."""
@@ -22,12 +19,11 @@ def _reader(spark: SparkSession, name_contains: str | None):
     return reader.option("pathGlobFilter", f"*{name_contains}*") if name_contains else reader
 
 
-def read_files(spark: SparkSession, root: str, name_contains: str | None = None,
-               max_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """(path, file_name, content, file_hash), one row per non-empty plain or gzip file."""
+def read_files(spark: SparkSession, root: str, name_contains: str | None = None) -> DataFrame:
+    """(path, file_name, content, file_hash), one row per non-empty plain or gzip file, for
+    files that fit a task; ``raw_lines`` reads files of any size."""
     raw = _reader(spark, name_contains).text(root, wholetext=True)
-    small = (F.col("_metadata.file_size") <= max_bytes) & (F.col("value") != "")
-    return raw.where(small).select(
+    return raw.where(F.col("value") != "").select(
         F.col("_metadata.file_path").alias("path"), valid_text(F.col("value")).alias("content")
     ).select(
         "path", file_name(F.col("path")).alias("file_name"), "content", F.md5("content").alias("file_hash")
@@ -43,47 +39,69 @@ def lines_of_files(files: DataFrame) -> DataFrame:
     )
 
 
-def read_large_lines(spark: SparkSession, root: str, name_contains: str | None = None,
-                     min_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """(path, _segment, line_no, line) of files larger than ``min_bytes``.
-
-    The text source splits plain files into blocks that tasks read on their own.
-    A line's number is its place in the block plus the line count of the blocks
-    before it; the block start stays on the row as the segment of later windows.
-    """
-    raw = _reader(spark, name_contains).text(root).where(F.col("_metadata.file_size") > min_bytes)
-    lines = raw.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias(SEGMENT),
-        F.monotonically_increasing_id().alias("_at"),
-        valid_text(F.col("value")).alias("line"),
-    )
-    blocks = lines.groupBy("path", SEGMENT).agg(F.count("*").alias("_n"))
+# --- lines of files of any size ----------------------------------------------------------
+
+
+def of_text(raw: DataFrame) -> DataFrame:
+    """(path, _segment, value) of rows of the text source, batch or stream; the segment is the block of the file."""
+    return raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias(SEGMENT), "value")
+
+
+def raw_lines(spark: SparkSession, root: str, name_contains: str | None = None) -> DataFrame:
+    """Rows of all files under ``root``.  The source splits plain files into blocks that tasks
+    read on their own (gzip files are one block) and cuts at the common line ends."""
+    return of_text(_reader(spark, name_contains).text(root))
+
+
+def cut_lines(raw: DataFrame) -> DataFrame:
+    """(path, _segment, _at, line): each line with a number that counts up within its block.
+
+    The rarer line ends are cut here, so lines are the same whatever blocks they came in."""
+    ends = fixed.RARE_LINE_ENDS
+    parts = F.split(F.translate(valid_text(F.col("value")), ends, "\n" * len(ends)), "\n")
+    return raw.select("path", SEGMENT, F.explode(parts).alias("line")).select(
+        "path", SEGMENT, F.monotonically_increasing_id().alias("_at"), "line")
+
+
+_PLACE = (1 << 33) - 1  # the bits of _at that count the rows of a task
+
+
+def summed_blocks(lines: DataFrame) -> DataFrame:
+    """(path, _segment, first_at, line_count, first_line, sum_0 ...) of each block.
+
+    One pass that shuffles one row per block: a task numbers the lines of a block one after
+    the other, and their hashes are summed by that number (see rolling_hash)."""
+    terms = rolling_hash.terms(F.col("line"), F.col("_at").bitwiseAND(F.lit(_PLACE)))
+    return lines.groupBy("path", SEGMENT).agg(
+        F.min("_at").alias("first_at"), F.count("*").alias("line_count"), F.min_by("line", "_at").alias("first_line"),
+        *[F.sum(term).alias(f"sum_{k}") for k, term in enumerate(terms)])
+
+
+def placed_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks with the number of lines of the file before them (``before``)."""
     before = W.partitionBy("path").orderBy(SEGMENT).rowsBetween(W.unboundedPreceding, -1)
-    starts = blocks.select("path", SEGMENT, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    placed = lines.withColumn("_place", F.row_number().over(W.partitionBy("path", SEGMENT).orderBy("_at")) - 1)
-    return placed.join(starts, ["path", SEGMENT]).select(
-        "path", file_name(F.col("path")).alias("file_name"), SEGMENT,
-        (F.col("_start") + F.col("_place")).cast("bigint").alias("line_no"), "line",
-    )
+    return blocks.withColumn("before", F.coalesce(F.sum("line_count").over(before), F.lit(0)))
 
 
-def large_file_hashes(lines: DataFrame, lines_per_leaf: int = 100_000) -> DataFrame:
-    """Content hash of files too large for one row: md5 over the md5s of line runs.
+def files_of(placed: DataFrame) -> DataFrame:
+    """(path, file_name, file_hash, lines, first_line), one row per file, from its blocks.
 
-    It depends only on the text, not on how the file was split for reading."""
-    leaf = F.floor(F.col("line_no") / lines_per_leaf)
-    ordered = lambda pair, text: F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x[text]), "\n")
-    leaves = lines.withColumn("_leaf", leaf).groupBy("path", "file_name", "_leaf").agg(
-        F.md5(ordered(F.struct("line_no", "line"), "line")).alias("_md5")
-    )
-    return leaves.groupBy("path", "file_name").agg(
-        F.md5(ordered(F.struct("_leaf", "_md5"), "_md5")).alias("file_hash")
-    )
+    The hash depends on the lines and their order alone, not on line ends or blocks."""
+    back = F.col("first_at").bitwiseAND(F.lit(_PLACE))
+    sums = [F.sum(rolling_hash.moved(F.col(f"sum_{k}"), back, F.col("before"), k)) for k in range(len(rolling_hash.MODULI))]
+    count = F.sum("line_count")
+    return placed.groupBy("path").agg(
+        rolling_hash.digest(count, sums).alias("file_hash"), count.alias("lines"), F.min_by("first_line", SEGMENT).alias("first_line"),
+    ).select("path", file_name(F.col("path")).alias("file_name"), "file_hash", "lines", "first_line")
 
 
-def first_lines(lines: DataFrame) -> DataFrame:
-    return lines.where("line_no = 0").select("path", F.col("line").alias("first_line"))
+def numbered_lines(lines: DataFrame, placed: DataFrame) -> DataFrame:
+    """(path, file_name, _segment, line_no, line) of the blocks in ``placed``, and its further columns."""
+    known = ["path", SEGMENT, "first_at", "line_count", "first_line", "before", *[f"sum_{k}" for k in range(len(rolling_hash.MODULI))]]
+    extra = [c for c in placed.columns if c not in known]
+    joined = lines.join(placed.select("path", SEGMENT, "first_at", "before", *extra), ["path", SEGMENT])
+    number = (F.col("before") + F.col("_at") - F.col("first_at")).cast("bigint")
+    return joined.select("path", file_name(F.col("path")).alias("file_name"), SEGMENT, number.alias("line_no"), "line", *extra)
 
 
 def inventory(spark: SparkSession, root: str, excludes: list[str] | None = None,

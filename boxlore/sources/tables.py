@@ -112,11 +112,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def receiver_group(rxid: Column, groups: int = 64) -> Column:
+#: groups of receivers, each with a folder a day
+GROUPS = 64
+
+
+def receiver_group(rxid: Column, groups: int = GROUPS) -> Column:
     return F.pmod(F.xxhash64(rxid), F.lit(groups)).cast("int")
 
 
-def write_logs(df: DataFrame, path: str, mode: str = "append", groups: int = 64) -> None:
+def write_logs(df: DataFrame, path: str, mode: str = "append", groups: int = GROUPS) -> None:
     """The wide log table, in folders of day and receiver group.
 
     One folder per receiver would mean millions of folders.  Rebalancing splits
@@ -135,7 +139,7 @@ def write_logs(df: DataFrame, path: str, mode: str = "append", groups: int = 64)
     )
 
 
-def read_logs(spark: SparkSession, path: str, rxid: str | None = None, start=None, end=None, groups: int = 64) -> DataFrame:
+def read_logs(spark: SparkSession, path: str, rxid: str | None = None, start=None, end=None, groups: int = GROUPS) -> DataFrame:
     """Log table, pruned to the folders of a receiver and of the days asked for."""
     df = spark.read.parquet(path)
     if rxid is not None:

@@ -2,36 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from boxlore import jobs
-from boxlore.functions.text import file_name
-from boxlore.sources.files import valid_text
+from boxlore.sources.files import of_text
 
 
 def file_stream(spark: SparkSession, root: str, files_per_batch: int = 10_000) -> DataFrame:
-    """(path, file_name, content, file_hash) of files as they arrive."""
-    raw = (
-        spark.readStream.format("text")
-        .option("wholetext", "true").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch)
-        .load(root)
-    )
-    content = valid_text(F.col("value"))
-    path = F.col("_metadata.file_path")
-    return raw.where("value <> ''").select(path.alias("path"), file_name(path).alias("file_name"), content.alias("content"),
-                      F.md5(content).alias("file_hash"))
+    """Text rows of files as they arrive, by blocks like those of the batch reader."""
+    raw = spark.readStream.format("text").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch)
+    return of_text(raw.load(root))
 
 
 def start_ingest(spark: SparkSession, root: str, store: str, checkpoint: str, reference_year: int,
                  dataset: str = "main", interval: str | None = None) -> StreamingQuery:
-    """Each batch appends to the log table, then to the import registry.
+    """Each batch adds to the log table, then to the import registry.
 
-    A batch that is repeated after a crash finds its rows in the table and its
-    files in the registry, so nothing is stored twice."""
+    A batch that is repeated after a crash replaces its rows, or finds its files in the
+    registry, so nothing is stored twice."""
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        jobs.store_files(batch, store, reference_year, dataset)
+        jobs.store_lines(batch, store, reference_year, dataset)
 
     writer = file_stream(spark, root).writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)

@@ -51,23 +51,50 @@ def test_same_content_is_read_once(spark, folder):
     assert registry.new_files(found, known).count() == 0
 
 
-def test_large_files_by_blocks(spark, tmp_path):
-    (tmp_path / "big").mkdir()
-    text = "".join(f"2025-01-15 05:11:{i % 60:02d} line {i}\n" for i in range(20_000))
-    (tmp_path / "big" / "a.log").write_text(text)
-    (tmp_path / "big" / "small.log").write_text("2025-01-15 05:11:30 x\n")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+def _lines(spark, path, split=None):
+    """Numbered lines and the file table, read in blocks of ``split`` bytes."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split or "128m")
     try:
-        lines = files.read_large_lines(spark, str(tmp_path / "big"), min_bytes=1000)
-        got = lines.orderBy("line_no").collect()
-        assert len({r["_segment"] for r in got}) > 3
-        hashed = files.large_file_hashes(lines, 1000).first()["file_hash"]
+        lines = files.cut_lines(files.raw_lines(spark, path))
+        placed = files.placed_blocks(files.summed_blocks(lines))
+        numbered = files.numbered_lines(lines, placed).orderBy("path", "line_no").collect()
+        return numbered, {r["file_name"]: r for r in files.files_of(placed).collect()}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert [r["line_no"] for r in got] == list(range(20_000))
-    assert all(r["line"].endswith(f"line {r['line_no']}") for r in got)
-    again = files.large_file_hashes(files.read_large_lines(spark, str(tmp_path / "big"), min_bytes=1000), 1000)
-    assert again.first()["file_hash"] == hashed
+
+
+def test_lines_and_hashes_of_any_split(spark, tmp_path):
+    (tmp_path / "big").mkdir()
+    text = "".join(f"2025-01-15 05:11:{i % 60:02d} line {i}" + "\n\r\v\x1e\u2028\x85"[i % 6] for i in range(20_000)) + "end"
+    (tmp_path / "big" / "a.log").write_bytes(text.encode())
+    (tmp_path / "big" / "windows.log").write_bytes(text.replace("\n", "\r\n").encode())
+    (tmp_path / "big" / "other.log").write_bytes(text.replace("line 7\r", "line 8\r").encode())
+    swapped = text.splitlines()
+    swapped[5], swapped[6] = swapped[6], swapped[5]
+    (tmp_path / "big" / "swapped.log").write_bytes("\n".join(swapped).encode())
+    with gzip.open(tmp_path / "big" / "zip.log.gz", "wb") as f:
+        f.write(text.encode())
+    seen = []
+    for split in ("65536", "200000", None):
+        numbered, found = _lines(spark, str(tmp_path / "big"), split)
+        got = [r for r in numbered if r["file_name"] == "a.log"]
+        assert [r["line"] for r in got] == text.splitlines() and [r["line_no"] for r in got] == list(range(20_001))
+        seen.append(len({r["_segment"] for r in got}))
+        hashes = {name: r["file_hash"] for name, r in found.items()}
+        assert hashes["a.log"] == hashes["windows.log"] == hashes["zip.log.gz"]
+        assert len(set(hashes.values())) == 3 and found["a.log"]["first_line"].endswith("line 0")
+        seen.append(hashes)
+    assert seen[0] > 5 and seen[4] == 1 and seen[1] == seen[3] == seen[5]
+
+
+def test_rolling_hash_against_plain_sums(spark):
+    from boxlore.functions import rolling_hash
+
+    places = [0, 1, 255, 256, 70_000, (1 << 33) + 5]
+    df = spark.createDataFrame([(p,) for p in places], "n bigint")
+    for k, (base, prime) in enumerate(zip(rolling_hash.BASES, rolling_hash.MODULI)):
+        got = df.select("n", rolling_hash.power(F.col("n"), k).alias("a"), rolling_hash.power(F.col("n"), k, True).alias("b")).collect()
+        assert all(r["a"] == pow(base, r["n"], prime) and r["a"] * r["b"] % prime == 1 for r in got)
 
 
 def test_ingest_twice_stores_once(spark, folder, tmp_path):
@@ -83,13 +110,77 @@ def test_ingest_twice_stores_once(spark, folder, tmp_path):
     assert tables.read_logs(spark, f"{root}/logs", "R0000000001", "2025-01-16 00:00:00", "2025-01-17 00:00:00").count() == 2
 
 
-def test_ingest_large_and_small_agree(spark, folder, tmp_path):
+def test_ingest_of_any_split_agrees(spark, folder, tmp_path):
+    rows = []
+    for split in ("40", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            jobs.ingest(spark, folder, str(tmp_path / split), 2025)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        pick = ["data", "timestamp", "pattern", "line_no", "software", "value_num", "rxid"]
+        rows.append(sorted(map(str, spark.read.parquet(str(tmp_path / split / "logs")).select(*pick).collect())))
+    assert rows[0] == rows[1] and rows[0]
+
+
+def test_batch_that_crashed_is_stored_once(spark, folder, tmp_path, monkeypatch):
+    """Wherever ingest stops, a second run leaves the rows of one undisturbed run."""
+    from boxlore.sources import hash_index
+
+    pick = ["data", "rxid", "line_no", "pattern"]
     jobs.ingest(spark, folder, str(tmp_path / "whole"), 2025)
-    jobs.ingest(spark, folder, str(tmp_path / "lines"), 2025, whole_file_bytes=0)
-    pick = ["data", "timestamp", "pattern", "line_no", "software", "value_num", "rxid"]
-    a = sorted(map(str, spark.read.parquet(str(tmp_path / "whole" / "logs")).select(*pick).collect()))
-    b = sorted(map(str, spark.read.parquet(str(tmp_path / "lines" / "logs")).select(*pick).collect()))
-    assert a == b
+    want = sorted(map(str, spark.read.parquet(str(tmp_path / "whole" / "logs")).select(*pick).collect()))
+
+    def stop(*args, **kwargs):
+        raise RuntimeError("stopped")
+
+    for place, (owner, name) in {"rows": (hash_index.HashIndex, "learn"), "keys": (registry, "imports")}.items():
+        root = str(tmp_path / place)
+        with monkeypatch.context() as patch, pytest.raises(RuntimeError):
+            patch.setattr(owner, name, stop)
+            jobs.ingest(spark, folder, root, 2025)
+        jobs.ingest(spark, folder, root, 2025)
+        assert sorted(map(str, spark.read.parquet(f"{root}/logs").select(*pick).collect())) == want
+        jobs.ingest(spark, folder, root, 2025)
+        assert spark.read.parquet(f"{root}/logs").count() == len(want)
+
+
+def test_hash_index(spark, tmp_path):
+    from boxlore.sources import hash_index
+
+    def rows(low, high):
+        number = F.col("id")
+        return spark.range(low, high).select(
+            F.concat(F.lit("R"), (number % 3).cast("string")).alias("rxid"), F.md5(number.cast("string")).alias("data_hash"), "id")
+
+    index = hash_index.open_index(spark, str(tmp_path / "index"), ["rxid", "data_hash"])
+    assert index.unseen(rows(0, 100), "a").count() == 100
+    index.learn(rows(0, 100), "a")
+    assert index.unseen(rows(0, 100), "a").count() == 100  # its own batch again
+    assert {r["id"] for r in index.unseen(rows(50, 150), "b").collect()} == set(range(100, 150))
+    index.learn(rows(100, 150), "b")
+    index.learn(rows(100, 150), "b")
+    assert index.maybe_stored(rows(1000, 3000)).count() < 20
+    touched = index.unseen(spark.range(1).select(F.lit("R1").alias("rxid"), F.md5(F.lit("1")).alias("data_hash")), "c")
+    plan = touched._jdf.queryExecution().toString()
+    assert "entries" in plan and "logs" not in plan
+    assert index.compact(2) > 0 and index.compact(2) == 0
+    assert index.entries().count() == 150 and index.learned() == {"a", "b"}
+    larger = index.grow()
+    assert hash_index.open_index(spark, str(tmp_path / "index"), ["rxid", "data_hash"]) == larger
+    assert larger.entries().count() == 150
+    assert {r["id"] for r in larger.unseen(rows(0, 200), "c").collect()} == set(range(150, 200))
+
+
+def test_hash_index_with_times(spark, tmp_path):
+    from boxlore.sources import hash_index
+
+    rows = spark.sql("SELECT * FROM VALUES ('R1', 'h', TIMESTAMP '2024-01-01 00:00:00'), ('R1', 'h', NULL) AS t(rxid, data_hash, timestamp)")
+    index = hash_index.open_index(spark, str(tmp_path / "index"), ["rxid", "data_hash", "timestamp"])
+    index.learn(rows, "a")
+    assert index.unseen(rows, "b").count() == 0
+    later = rows.withColumn("timestamp", F.lit("2024-01-02").cast("timestamp")).distinct()
+    assert index.unseen(later, "b").count() == 1
 
 
 def test_stream_equals_batch(spark, folder, tmp_path):
