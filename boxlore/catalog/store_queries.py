@@ -10,9 +10,9 @@ from boxlore import jobs
 from boxlore.catalog.registry import query
 from boxlore.catalog.views import lines, logs
 from boxlore.functions.text import receiver_of_path
-from boxlore.operators import store
+from boxlore.operators import extras, store
 from boxlore.session import checkpoint_dir
-from boxlore.sources import files, hash_index
+from boxlore.sources import files, hash_index, tables
 
 YEAR = 2024
 
@@ -91,3 +91,40 @@ def _(spark, sf):
             index.compact(2)
     stored = spark.read.schema("rxid string, data_hash string, id long, batch string").parquet(f"{folder}/rows")
     return stored.select("id", "batch")
+
+
+_KEYS = {"signal": "CAST(v AS BIGINT)", "Net Mode": "'m' || u", "locked": "v % 2 = 0", "spare_num": "CASE WHEN id % 2 = 0 THEN u END"}
+
+
+def _with_extras(spark, sf):
+    """Details of four unknown keys: a number, a text, a truth value, and a number half of the rows have."""
+    pairs = F.create_map(
+        F.lit("signal"), F.col("v").cast("string"), F.lit("Net Mode"), F.concat(F.lit("m"), F.col("u").cast("string")),
+        F.lit("locked"), (F.col("v") % 2 == 0).cast("string"), F.lit("spare_num"), F.when(F.col("id") % 2 == 0, F.col("u").cast("string")))
+    return logs(spark, sf).select("id", "category", extras.packed(pairs).alias("extras"))
+
+
+@query("unknown_keys", """
+SELECT key, CAST(rows AS BIGINT) AS rows, kind FROM (
+  SELECT count(*) AS n, count(*) FILTER (id % 2 = 0) AS half FROM logs),
+  LATERAL (VALUES ('signal', n, 'BIGINT'), ('Net Mode', n, 'STRING'), ('locked', n, 'BOOLEAN'), ('spare_num', half, 'BIGINT')) AS t(key, rows, kind)""")
+def _(spark, sf):
+    return extras.key_counts(_with_extras(spark, sf))
+
+
+@query("stack_growing_extras", f"""
+SELECT id, {_KEYS['signal']} AS signal, {_KEYS['Net Mode']} AS net_mode, {_KEYS['locked']} AS locked, {_KEYS['spare_num']} AS spare_num,
+  id % 3 > 0 AS promoted FROM logs""")
+def _(spark, sf):
+    """Three batches; the keys of the first become typed columns of the others, and stored rows answer from extras."""
+    rows, folder = _with_extras(spark, sf), fresh_folder(spark, "extras")
+    listed = f"{folder}/promoted"
+    for number in range(3):
+        batch = rows.where(F.col("id") % 3 == number)
+        keys = extras.read_promoted(spark, listed)
+        extras.promoted(batch, keys).write.parquet(f"{folder}/rows/batch={number}")
+        extras.note_promoted(spark, listed, extras.frequent_keys(spark.read.parquet(f"{folder}/rows/batch={number}")))
+    keys = extras.read_promoted(spark, listed)
+    stored = tables.read_logs(spark, f"{folder}/rows", further={name: kind for _, name, kind in keys})
+    return extras.promoted(stored.withColumn("promoted", F.col("signal").isNotNull()), keys).select(
+        "id", *[name for _, name, _ in keys], "promoted")

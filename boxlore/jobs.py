@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from boxlore.functions.text import file_name, receiver_of_path
-from boxlore.operators import anomaly, classify, enrich, gather, mutual_info, parse, report, sessions, significance, store
+from boxlore.operators import anomaly, classify, enrich, extras, gather, mutual_info, parse, report, sessions, significance, store
 from boxlore.plans.ordered import SEGMENT
 from boxlore.session import cut_lineage
 from boxlore.sources import files as file_source
@@ -72,14 +72,23 @@ def store_lines(raw: DataFrame, root: str, reference_year: int, dataset: str = "
     fresh_blocks = placed.join(
         fresh.select("path", parse.file_format(F.col("first_line"), F.col("file_name")).alias("format")), "path")
     numbered = file_source.numbered_lines(lines, fresh_blocks)
-    rows = cut_lineage(store.dedupe(log_rows(parse_files(numbered, reference_year), dataset), how=dedupe))
+    keys = extras.read_promoted(spark, f"{root}/promoted_keys")
+    rows = cut_lineage(store.dedupe(extras.promoted(log_rows(parse_files(numbered, reference_year), dataset), keys), how=dedupe))
     tables.write_logs(index.unseen(rows, batch), f"{root}/logs/batch={batch}", "overwrite", groups)
     stored = _read_if_any(spark, f"{root}/logs/batch={batch}")
     if stored is not None:
         index.learn(stored, batch)
+        extras.note_promoted(spark, f"{root}/promoted_keys", extras.frequent_keys(stored))
     registry.imports(fresh, known, F.current_timestamp()).write.mode("append").parquet(f"{root}/imports")
 
 
+def read_stored(spark: SparkSession, root: str, receiver: str | None = None, start=None, end=None) -> DataFrame:
+    """The log table with the columns of promoted keys, which rows stored before the promotion lack:
+    ``extras.value_of`` reads those from ``extras``."""
+    further = {name: kind for _, name, kind in extras.read_promoted(spark, f"{root}/promoted_keys")}
+    return tables.read_logs(spark, f"{root}/logs", receiver, start, end, further=further)
+
+
 def ingest(spark: SparkSession, source: str, root: str, reference_year: int, dataset: str = "main",
            name_contains: str | None = None, dedupe: str = "data", groups: int = tables.GROUPS) -> None:
     """All files under ``source``, whatever their size; ``groups`` of receivers make the folders of a day."""
@@ -133,7 +142,7 @@ def enrich_stored(spark: SparkSession, root: str, receiver: str | None = None, s
     if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         model, config = classify.load_model(spark, path)
         columns = config["columns"]
-    rows = enrich_logs(tables.read_logs(spark, f"{root}/logs", receiver, start, end), model, columns)
+    rows = enrich_logs(read_stored(spark, root, receiver, start, end), model, columns)
     if receiver is None and start is None and end is None:
         tables.write_next(rows, f"{root}/enriched")
     else:  # written once, as the upsert reads the keys and the rows
@@ -184,7 +193,7 @@ def main(argv: list[str] | None = None) -> None:
         ingest(spark, args.source, args.root, args.year, "good" if args.good else "main")
         return
     if args.job == "train":
-        _, config = train(tables.read_logs(spark, f"{args.root}/logs", args.receiver, args.start, args.end), args.root, args.model)
+        _, config = train(read_stored(spark, args.root, args.receiver, args.start, args.end), args.root, args.model)
         print(json.dumps(config, indent=2))
     elif args.job == "enrich":
         enrich_stored(spark, args.root, args.receiver, args.start, args.end)

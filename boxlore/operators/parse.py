@@ -8,6 +8,7 @@ from boxlore.functions import fixed_values as fixed
 from boxlore.functions.message_fields import details_map, epg_event
 from boxlore.functions.text import split_groups
 from boxlore.functions.timestamps import clock_micros, instant, iso_text, to_utc
+from boxlore.operators.extras import packed, pairs_of
 from boxlore.plans.ordered import SEGMENT, running_count
 
 Rules = dict[str, tuple[str, list[str]]]
@@ -18,12 +19,14 @@ TEXT_COLUMNS = [
     "sub_category", "timezone_offset", "channel", "key", "value_str", "software", "model", "data",
 ]
 COLUMNS = [
-    "path", "line_no", "pattern", "timestamp", "timestamp_imputed", *TEXT_COLUMNS, "value_num", "details", "event_type",
+    "path", "line_no", "pattern", "timestamp", "timestamp_imputed", *TEXT_COLUMNS, "value_num", "details", "extras", "event_type",
 ]
+#: groups of a line rule that are worked up into other columns
+WORKED_UP = ["stamp", "stamp_ms", "details_text"]
 
 
 def _finish(df: DataFrame, keep: list[str]) -> DataFrame:
-    types = {"value_num": "double", "details": "map<string,string>", "timestamp_imputed": "boolean"}
+    types = {"value_num": "double", "details": "map<string,string>", "extras": "variant", "timestamp_imputed": "boolean"}
     for name in COLUMNS:
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast(types.get(name, "string")))
@@ -96,7 +99,8 @@ def parse_lines(lines: DataFrame, reference_year: int, rules: Rules | None = Non
     """Apply the line rules; lines that match none or never get a stamp are dropped.
 
     ``rules`` replaces the built-in ones: name -> (regex, column of each group),
-    with ``stamp`` as the column of the time text."""
+    with ``stamp`` as the column of the time text.  Groups that name no column of the table
+    go, like the pairs of the details, into ``extras``."""
     rules = fixed.LINE_RULES if rules is None else rules
     keep = [c for c in lines.columns if c not in ("path", "line_no", "line", SEGMENT)]
     df = _matched(lines, rules)
@@ -116,6 +120,9 @@ def parse_lines(lines: DataFrame, reference_year: int, rules: Rules | None = Non
             F.when(F.col("details_text").isNotNull(), F.concat(F.lit("<"), "file_line", F.lit(">"))).otherwise(
                 F.col("file_line")),
         )
+    unknown = {c: F.nullif(c, F.lit("")) for c in names if c not in COLUMNS and c not in WORKED_UP and c not in keep}
+    if unknown or "details_text" in names:
+        df = df.withColumn("extras", packed(pairs_of(F.col("details") if "details_text" in names else None, unknown)))
     return _finish(df.withColumn("event_type", epg_event(F.col("data"))), keep)
 
 

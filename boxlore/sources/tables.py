@@ -139,9 +139,17 @@ def write_logs(df: DataFrame, path: str, mode: str = "append", groups: int = GRO
     )
 
 
-def read_logs(spark: SparkSession, path: str, rxid: str | None = None, start=None, end=None, groups: int = GROUPS) -> DataFrame:
-    """Log table, pruned to the folders of a receiver and of the days asked for."""
+def read_logs(spark: SparkSession, path: str, rxid: str | None = None, start=None, end=None, groups: int = GROUPS,
+              further: dict[str, str] | None = None) -> DataFrame:
+    """Log table, pruned to the folders of a receiver and of the days asked for.
+
+    ``further`` names columns, with their types, that only some of the files have."""
     df = spark.read.parquet(path)
+    missing = {c: kind for c, kind in (further or {}).items() if c.lower() not in {x.lower() for x in df.columns}}
+    if missing:
+        for column, kind in missing.items():
+            df = df.withColumn(column, F.lit(None).cast(kind))
+        df = spark.read.schema(df.schema).parquet(path)
     if rxid is not None:
         df = df.where((F.col("receiver_group") == receiver_group(F.lit(rxid), groups)) & (F.col("rxid") == rxid))
     if start is not None:
