@@ -102,17 +102,17 @@ def _(spark, sf):
 
 @query("parse_var_lines", """
 SELECT event_id AS line_no, epoch_us(date_trunc('millisecond', ts)) AS us, CAST(user_id AS VARCHAR) AS pid, '7' AS tid,
-  'c' AS channel, CASE event_id % 4 WHEN 0 THEN 'frame rate' WHEN 1 THEN 'ratio' WHEN 2 THEN 'video resolution' ELSE 'Parsed Header' END AS key,
+  'c' AS channel, CASE event_id % 4 WHEN 0 THEN 'lock count' WHEN 1 THEN 'ratio' WHEN 2 THEN 'screen size' ELSE 'link reset' END AS key,
   CASE event_id % 4 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN CAST(user_id AS VARCHAR) || '.5'
-    WHEN 2 THEN '1440x' || CAST(user_id AS VARCHAR) ELSE '' END AS value_str,
+    WHEN 2 THEN '640x' || CAST(user_id AS VARCHAR) ELSE '' END AS value_str,
   CASE event_id % 4 WHEN 0 THEN CAST(user_id AS DOUBLE) WHEN 1 THEN user_id + 0.5 END AS value_num FROM events""")
 def _(spark, sf):
     u = F.col("user_id").cast("string")
     pair = (
-        F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("frame rate: "), u))
+        F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("lock count: "), u))
         .when(F.col("event_id") % 4 == 1, F.concat(F.lit("ratio: "), u, F.lit(".5")))
-        .when(F.col("event_id") % 4 == 2, F.concat(F.lit("video resolution: 1440x"), u))
-        .otherwise(F.lit("Parsed Header:"))
+        .when(F.col("event_id") % 4 == 2, F.concat(F.lit("screen size: 640x"), u))
+        .otherwise(F.lit("link reset:"))
     )
     line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit("  "), u, F.lit(" 7 I VAR - c : "), pair)
     df = table(spark, sf, "events").select(F.lit("/v.log").alias("path"), F.col("event_id").alias("line_no"), line.alias("line"))
@@ -125,7 +125,7 @@ def _trap_files(spark, sf):
     u = F.col("user_id").cast("string")
     content = F.concat(
         F.lit("intro text\n---- TIME Received ----\n----------------- "), date,
-        F.lit(" ---------------\n----- Software: PTA"), u, F.lit("NHBD-N -- Model: Hopper with "), u,
+        F.lit(" ---------------\n----- Software: build-"), u, F.lit(".x -- Model: Box "), u,
         F.lit(" ------------------------\nbody\n---- TIME Received ----\nno date here"))
     e = table(spark, sf, "events")
     return e.select(F.concat(F.lit("/t/"), F.col("event_id").cast("string")).alias("path"), content.alias("content"))
@@ -134,8 +134,8 @@ def _trap_files(spark, sf):
 _TRAP_SQL = """
 SELECT '/t/' || CAST(event_id AS VARCHAR) AS path, b AS line_no,
   CASE WHEN b = 1 THEN epoch_us(date_trunc('second', ts)) END AS us,
-  CASE WHEN b = 1 THEN 'PTA' || CAST(user_id AS VARCHAR) || 'NHBD-N' END AS software,
-  CASE WHEN b = 1 THEN 'Hopper with ' || CAST(user_id AS VARCHAR) END AS model
+  CASE WHEN b = 1 THEN 'build-' || CAST(user_id AS VARCHAR) || '.x' END AS software,
+  CASE WHEN b = 1 THEN 'Box ' || CAST(user_id AS VARCHAR) END AS model
 FROM events, (SELECT unnest([0, 1, 2])::BIGINT AS b)"""
 
 

@@ -26,9 +26,9 @@ def folder(tmp_path):
     with gzip.open(root / "zip.log.gz", "wb") as f:
         f.write(b"2025-01-16 05:11:30 zipped\n2025-01-16 05:11:31 DUMPING FILE x\n")
     (root / "k_trap.log").write_bytes(
-        b"---- TIME Received ----\n----------------- 08/30/2024 08:35:00 ---------------\n"
+        b"---- TIME Received ----\n----------------- 02/29/2020 23:59:58 ---------------\n"
         b"----- Software: A-B -- Model: M 1 --------\nbody\n")
-    (root / "var.log").write_bytes(b"2025-03-27 19:50:32.666  4807 31770 I VAR - c : frame rate: 29\n")
+    (root / "var.log").write_bytes(b"2023-11-02 07:05:09.041  212 9 I VAR - tuner.3: lock count: 12\n")
     other = tmp_path / "in" / "none"
     other.mkdir()
     (other / "x.log").write_bytes(b"2025-01-15 05:11:30 no receiver\n")
