@@ -1,76 +1,160 @@
-"""Marker sessions over a stream of rows.
+"""Marker sessions over a stream of rows, with keyed state and timers.
 
-A session summary is made of sums, a minimum and the fields of its marker row, so
-partial summaries add up.  Each batch is cut and summed by the distributed batch
-operator; only one open summary per receiver goes from batch to batch.  A
-receiver that sends a third of all rows therefore never has its rows in one task.
+A session summary is made of sums, a minimum and the fields of its marker row, so partial
+summaries add up.  Each batch is first folded per receiver and time slice into the pieces
+between markers: a receiver that sends a third of all rows spreads over its slices, and a
+task holds a slice's flags, not its texts.  The pieces of a receiver, in order, then meet
+its open session in the state store: only receivers of the batch, and those whose timer
+runs out, touch state.  A marker ends the open session; so does a timer, once the
+watermark has passed the session's last row by the timeout.  Sessions are written when they
+end.  Late rows count for the session that is open when they arrive.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from boxlore.functions import fixed_values as fixed
-from boxlore.operators.sessions import number_sessions, session_summary
-
-_SUMS = [*fixed.SESSION_ALERTS, *[name for name, _, _ in fixed.SESSION_DROP_BUCKETS], "n_other_events"]
-
-
-def merge_batch(rows: DataFrame, still_open: DataFrame | None) -> DataFrame:
-    """Sessions of a batch joined to the sessions left open before it.
-
-    ``is_open`` marks the last session of each receiver.  Rows before the first
-    marker of the batch continue the open session; where that one was closed by a
-    timeout (``is_closed``), they start a new one, and numbers go on from it."""
-    numbered = number_sessions(rows)
-    last = numbered.groupBy("rxid", "session_no").agg(F.max("timestamp").alias("last_timestamp"))
-    fresh = session_summary(numbered).join(last, ["rxid", "session_no"])
-    if still_open is not None:
-        start = still_open.select("rxid", F.col("session_no").alias("_base"), F.col("is_closed").alias("_closed"))
-        first = F.min("session_no").over(W.partitionBy("rxid"))
-        after_closed = F.when(F.col("_closed") & (first == 0), 1).otherwise(0)
-        fresh = fresh.join(start, "rxid", "left").withColumn(
-            "session_no", F.col("session_no") + F.coalesce("_base", F.lit(0)) + after_closed
-        ).drop("_base", "_closed")
-        fresh = fresh.unionByName(still_open.where("NOT is_closed").select(fresh.columns))
-    merged = fresh.groupBy("rxid", "session_no").agg(
-        F.min("change_content_timestamp").alias("change_content_timestamp"),
-        F.max("svc_name").alias("svc_name"),
-        F.max("video_resolution").alias("video_resolution"),
-        *[F.sum(c).alias(c) for c in _SUMS],
-        F.max("last_timestamp").alias("last_timestamp"),
-    )
-    newest = F.max("session_no").over(W.partitionBy("rxid"))
-    return merged.withColumn("is_open", F.col("session_no") == newest)
-
-
-def start_sessions(rows: DataFrame, output: str, state: str, checkpoint: str, timeout_seconds: int | None = None,
-                   interval: str | None = None) -> StreamingQuery:
-    """Write finished sessions to ``output``.
-
-    A session ends at the next marker, or when the stream has moved on by
-    ``timeout_seconds``.  Late rows count for the session that is open when they
-    arrive.  Output and state have one folder per batch: a repeated batch starts
-    from the state before it and replaces its own folders."""
-    spark = rows.sparkSession
+from boxlore.functions.message_fields import display_drop, field_columns
+from boxlore.operators.sessions import alert_tests, is_other_event
+from boxlore.plans.ordered import SLICE_SECONDS, time_slice
+from boxlore.sources.tables import GROUPS, receiver_group
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SUMS = [*fixed.SESSION_ALERTS, *[name for name, _, _ in fixed.SESSION_DROP_BUCKETS], "n_other_events"]
+TEXTS = ["svc_name", "video_resolution"]
+#: rows without a stamp come last
+LAST_SLICE = 1 << 62
+_SUMMARY = ", ".join(["first_us long", "last_us long", *[f"{c} string" for c in TEXTS], *[f"{c} long" for c in SUMS]])
+#: pieces in order of slice and place; place 0 comes before the slice's first marker
+PIECE = f"rxid string, slice long, place long, {_SUMMARY}"
+SESSION = f"rxid string, session_no long, ended string, {_SUMMARY}"
+
+
+def flagged(rows: DataFrame, slice_seconds: int) -> DataFrame:
+    """What a piece needs of each row: its time, whether it is a marker, and what it counts for."""
+    text = F.trim(F.coalesce("data", F.lit("")))
+    marker = F.lower(text).contains(fixed.SESSION_MARKER)
+    body, opened = ~F.col("is_marker"), F.col("is_marker")
+    tests = {**alert_tests(F.col("text"), F.col("drop")), "n_other_events": is_other_event(F.col("text"))}
+    fields = field_columns(F.col("text"))
+    return rows.withColumns({"text": text, "is_marker": marker}).withColumn("drop", display_drop(F.col("text"))).select(
+        "rxid", "id", F.coalesce(time_slice(F.col("timestamp"), slice_seconds), F.lit(LAST_SLICE)).alias("slice"),
+        F.unix_micros(F.col("timestamp").cast("timestamp")).alias("us"), "is_marker",
+        *[F.when(opened, fields[c]).alias(c) for c in TEXTS], *[(body & test).cast("long").alias(c) for c, test in tests.items()])
+
+
+def pieces_of(rows: pd.DataFrame) -> pd.DataFrame:
+    """The pieces of a slice, of all its receivers at once."""
+    rows = rows.sort_values(["rxid", "us", "id"], kind="stable", na_position="last")
+    rows["place"] = rows["is_marker"].astype("int64").groupby(rows["rxid"]).cumsum()
+    named = {"first_us": ("us", "min"), "last_us": ("us", "max"), **{c: (c, "first") for c in TEXTS}, **{c: (c, "sum") for c in SUMS}}
+    out = rows.groupby(["rxid", "slice", "place"], as_index=False).agg(**named)
+    return out.astype({"first_us": "Int64", "last_us": "Int64"})
+
+
+def _text(value):
+    return None if value is None or value is pd.NA or value != value else value
+
+
+def _least(a, b):
+    return b if a is None else a if b is None else min(a, b)
+
+
+def _most(a, b):
+    return b if a is None else a if b is None else max(a, b)
+
+
+class OpenSessions(StatefulProcessor):
+    """One open summary per receiver: (session_no, is_open, first_us, last_us, texts, sums)."""
 
-    def advance(batch: DataFrame, batch_id: int) -> None:
-        before = spark.read.parquet(f"{state}/batch={batch_id - 1}") if batch_id > 0 else None
-        merged = merge_batch(batch, before)
-        # the merged summaries are used twice and are small next to the rows
-        merged.write.mode("overwrite").parquet(f"{state}/merged={batch_id}")
-        merged = spark.read.parquet(f"{state}/merged={batch_id}")
-        late = F.lit(False)
-        if timeout_seconds is not None:
-            newest = F.unix_seconds(merged.agg(F.max("last_timestamp").alias("t")).scalar())
-            late = F.coalesce(F.unix_seconds("last_timestamp") < newest - timeout_seconds, F.lit(False))
-        merged.where(~F.col("is_open") | late).drop("is_open").write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
-        # closed receivers stay in the state for their last number
-        kept = merged.where("is_open").withColumn("is_closed", late).drop("is_open")
-        if before is not None:
-            kept = kept.unionByName(before.where("is_closed").join(merged.select("rxid").distinct(), "rxid", "left_anti"))
-        kept.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
-
-    writer = rows.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+    def __init__(self, timeout_seconds: int | None):
+        self.timeout = timeout_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("session", f"session_no long, is_open boolean, {_SUMMARY}")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        # a few rows per slice, not the rows of the log
+        pieces = pd.concat(list(rows)).sort_values(["slice", "place"])
+        number, is_open, *summary = self.state.get() if self.state.exists() else (0, None, *self._empty())
+        ended, timer = [], self._timer(summary[1]) if is_open else None
+        for piece in pieces.to_dict("records"):
+            if piece["place"] > 0 or is_open is False:  # a marker, or the first row after a timeout
+                if is_open:
+                    ended.append((key[0], number, "marker", *summary))
+                number, summary = number + 1, self._empty()
+            is_open, summary = True, self._added(summary, piece)
+        self.state.update((number, is_open, *summary))
+        self._move_timer(timer, self._timer(summary[1]))
+        yield self._rows(ended)
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        number, is_open, *summary = self.state.get()
+        self.state.update((number, False, *summary))
+        yield self._rows([(key[0], number, "timeout", *summary)] if is_open else [])
+
+    def close(self) -> None:
+        pass
+
+    def _timer(self, last_us: int | None) -> int | None:
+        """When the session runs out, in milliseconds."""
+        return None if self.timeout is None or last_us is None else -(-(last_us + self.timeout * 1_000_000) // 1000)
+
+    def _move_timer(self, before: int | None, now: int | None) -> None:
+        if before != now:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if now is not None:
+                self.handle.registerTimer(now)
+
+    @staticmethod
+    def _empty() -> list:
+        return [None, None, *[None] * len(TEXTS), *[0] * len(SUMS)]
+
+    @staticmethod
+    def _added(summary: list, piece: dict) -> list:
+        first, last = (None if pd.isna(piece[c]) else int(piece[c]) for c in ("first_us", "last_us"))
+        texts = [_most(a, _text(piece[c])) for a, c in zip(summary[2:], TEXTS)]
+        sums = [a + int(piece[c]) for a, c in zip(summary[2 + len(TEXTS) :], SUMS)]
+        return [_least(summary[0], first), _most(summary[1], last), *texts, *sums]
+
+    @staticmethod
+    def _rows(ended: list[tuple]) -> pd.DataFrame:
+        names = [field.split()[0] for field in SESSION.split(", ")]
+        return pd.DataFrame(ended, columns=names).astype({"session_no": "int64", "first_us": "Int64", "last_us": "Int64", **{c: "int64" for c in SUMS}})
+
+
+def ended_sessions(rows: DataFrame, timeout_seconds: int | None = None, lateness: str = "0 seconds",
+                   slice_seconds: int = SLICE_SECONDS, groups: int = GROUPS) -> DataFrame:
+    """Sessions of a stream (rxid, id, timestamp, data) as they end, by a marker or a timeout.
+
+    A slice of time and a group of receivers are folded together."""
+    timed = rows.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", lateness)
+    pieces = flagged(timed, slice_seconds).groupBy("slice", receiver_group(F.col("rxid"), groups)).applyInPandas(pieces_of, PIECE)
+    mode = "EventTime" if timeout_seconds is not None else "None"
+    found = pieces.groupBy("rxid").transformWithStateInPandas(OpenSessions(timeout_seconds), SESSION, "Append", mode)
+    return found.select(
+        "rxid", "session_no", "ended", F.timestamp_micros("first_us").alias("change_content_timestamp"),
+        F.timestamp_micros("last_us").alias("last_timestamp"), *TEXTS, *SUMS)
+
+
+def start_sessions(rows: DataFrame, output: str, checkpoint: str, timeout_seconds: int | None = None,
+                   interval: str | None = None, **folding: int) -> StreamingQuery:
+    """Write ended sessions to ``output``, each once; the open ones are in the checkpoint's state."""
+    spark = rows.sparkSession
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS_DB)  # a query keeps the settings it is started with
+    try:
+        writer = ended_sessions(rows, timeout_seconds, **folding).writeStream.outputMode("append").format("parquet")
+        writer = writer.option("path", output).option("checkpointLocation", checkpoint)
+        return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+    finally:
+        spark.conf.set(PROVIDER, before)
