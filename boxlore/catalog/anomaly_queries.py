@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from boxlore.catalog.registry import query
 from boxlore.catalog.views import logs
-from boxlore.operators import anomaly, gather, report, sessions, significance
+from boxlore.operators import anomaly, gather, network, report, sessions, significance
+from boxlore.operators.classify import model_path
 from boxlore.plans.ordered import SEGMENT, ranked_blocks, time_slice
+from boxlore.session import checkpoint_dir
 
 
 def marked(spark, sf):
@@ -163,6 +167,34 @@ def _(spark, sf):
     return anomaly.score_forecast(models, df.where("dataset = 'main'")).select("rxid", "id", "seq_score", "seq_issue")
 
 
+@query("sequence_forecast_recurrent", """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY rxid ORDER BY "timestamp", id) AS place FROM logs WHERE dataset = 'main')
+SELECT id, rxid, true AS scaled, true AS loss_fell, true AS same_again FROM r WHERE place >= 16""")
+def _(spark, sf):
+    """Trained on good rows, saved, loaded, and applied to the others: which rows get a score, and that it behaves."""
+    df = logs(spark, sf)
+    folder = f"{checkpoint_dir(spark)}/networks/{uuid.uuid4().hex}"
+    model = anomaly.fit_recurrent(df.where("dataset = 'good'"), steps=2)
+    path = model_path(folder, "sequence", length=anomaly.SEQUENCE, hidden=model.network.hidden)
+    model.save(spark, path)
+    loaded = network.load(spark, path)
+    scores = anomaly.score_recurrent(loaded, df.where("dataset = 'main'"))
+    return scores.select(
+        "id", "rxid", F.col("seq_score").between(0, 1).alias("scaled"), F.lit(model.losses[-1] < model.losses[0]).alias("loss_fell"),
+        F.lit(bool((loaded.weights == model.weights).all())).alias("same_again"))
+
+
+@query("reconstruction_network", """
+SELECT id, rxid, true AS scored, true AS loss_fell FROM logs WHERE dataset = 'main'""")
+def _(spark, sf):
+    """A non-linear auto-encoder, trained on good rows, over the rows of the others."""
+    columns = ["data_len", "metric_num"]
+    df = logs(spark, sf).withColumn("data_len", F.length("data").cast("double")).select("rxid", "id", "dataset", *columns)
+    model = anomaly.fit_autoencoder(df.where("dataset = 'good'"), columns, steps=2)
+    scores = anomaly.score_autoencoder(model, df.where("dataset = 'main'"), columns)
+    return scores.select("id", "rxid", (F.col("recon_score") >= 0).alias("scored"), F.lit(model.losses[-1] < model.losses[0]).alias("loss_fell"))
+
+
 @query("scores_joined_back", f"""
 WITH s AS (SELECT rxid, id, CAST(length(data) AS INTEGER) AS data_len FROM logs WHERE kind < 10)
 SELECT l.id, s.data_len FROM logs l LEFT JOIN s ON s.rxid = l.rxid AND s.id = l.id""")

@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from boxlore.operators import network
 from boxlore.plans.ordered import SEGMENT, ranked_blocks, time_slice
 from boxlore.plans.skew import join_per_key
 from boxlore.session import cut_lineage
@@ -225,6 +226,42 @@ def score_forecast(models: list, df: DataFrame, length: int = SEQUENCE, keys: li
     return _finish_sequences(cut_lineage(rows), keys)
 
 
+def _lag_arrays(df: DataFrame, length: int, keys: list[str]) -> DataFrame:
+    rows = _lag_vectors(df, length, keys)
+    return rows.withColumns({"inputs": vector_to_array("_lags"), "targets": F.array("_z_len", "_z_gap")}).drop("_lags", "_z_len", "_z_gap")
+
+
+def fit_recurrent(df: DataFrame, length: int = SEQUENCE, keys: list[str] = ["rxid"], hidden: int = 16, **training) -> network.Trained:
+    """A recurrent forecaster of a row from the ``length - 1`` rows before it (train on known-good rows)."""
+    shape = network.Recurrent(steps=length - 1, features=2, hidden=hidden, out=2)
+    return network.fit(_lag_arrays(df, length, keys), shape, **training)
+
+
+def score_recurrent(model: network.Trained, df: DataFrame, keys: list[str] = ["rxid"]) -> DataFrame:
+    """Scores (keys, id, stamp) by a fitted forecaster; errors are written once, as above."""
+    rows = _lag_arrays(df.select(*keys, "id", "timestamp", "data"), model.network.steps + 1, keys)
+    rows = rows.select(*keys, "id", "timestamp", "data_len", "delta_s", "inputs", "targets")
+    return _finish_sequences(cut_lineage(model.score(rows, "inputs", "targets", "_error").drop("inputs", "targets")), keys)
+
+
+def _standard_arrays(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    z = standardize(df, {c: f"_z_{c}" for c in columns}, keys)
+    return z.withColumn("inputs", F.array(*[F.coalesce(F.col(f"_z_{c}"), F.lit(0.0)) for c in columns])).drop(*[f"_z_{c}" for c in columns])
+
+
+def fit_autoencoder(df: DataFrame, columns: list[str], latent: int = 2, width: int = 64, keys: list[str] = ["rxid"], **training) -> network.Trained:
+    """An auto-encoder of the standardised columns through a layer of ``latent`` numbers."""
+    rows = _standard_arrays(df, columns, keys)
+    shape = network.Layered((len(columns), width, latent, width, len(columns)))
+    return network.fit(rows.select("inputs", F.col("inputs").alias("targets")), shape, **training)
+
+
+def score_autoencoder(model: network.Trained, df: DataFrame, columns: list[str], keys: list[str] = ["rxid"]) -> DataFrame:
+    """Mean squared difference between a row's standardised columns and what the network makes of them."""
+    out = model.score(_standard_arrays(df, columns, keys), "inputs", "inputs", "recon_score").drop("inputs")
+    return add_threshold(cut_lineage(out), "recon_score", keys, "recon_threshold", "recon_is_anomaly")
+
+
 def attach_scores(df: DataFrame, scores: DataFrame, keys: list[str] = ["rxid", "id"]) -> DataFrame:
     """Scores computed elsewhere as columns of the rows they belong to."""
     new = [c for c in scores.columns if c not in df.columns]
