@@ -34,6 +34,10 @@ from boxlore.llm.html_tree import HEADINGS, NO_TEXT_TAGS, NO_TEXT_WORDS, Node, P
 
 #: a template block stands on this share of a host's different pages, and on so many at least
 TEMPLATE_SHARE = 0.9
+#: a page without article and main: an element with this share of its running text is never beside the content
+MOST_TEXT = 0.8
+#: articles that hold less than this share of the text of main are teasers in it
+TEASER = 0.5
 TEMPLATE_PAGES = 5
 
 
@@ -130,9 +134,27 @@ def no_text(node: Node) -> bool:
         return True
     if node.tag == "header":
         return not any(p.tag in ("article", "main") for p in ancestors(node))
+    return marked(node)
+
+
+def marked(node: Node) -> bool:
+    """Whether only the words of an element mark it so."""
     return node.tag not in ("html", "body", "main") and bool(node.words & NO_TEXT_WORDS)
 
 
+def holding_most(page: Page) -> set[Node]:
+    """Elements that hold nearly all the running text of a page: whatever their words, they lie around the content."""
+    amounts: dict[Node, int] = {}
+    total = 0
+    for node, text, linked in page.blocks:
+        above = [node, *ancestors(node)]
+        if (amount := len(text) - linked) > 0 and not any(n.hidden or n.tag in NO_TEXT_TAGS for n in above):
+            total += amount
+            for owner in above:
+                amounts[owner] = amounts.get(owner, 0) + amount
+    return {node for node, amount in amounts.items() if amount >= MOST_TEXT * total}
+
+
 def ancestors(node: Node) -> Iterator[Node]:
     while (node := node.parent) is not None:
         yield node
@@ -141,6 +163,8 @@ def ancestors(node: Node) -> Iterator[Node]:
 def content(page: Page, reference: tuple | None, template: set[tuple[int, int]], slot: int | None) -> str:
     """The text of a page's content, blocks joined by an empty line."""
     holds_article = {p for node in page.nodes if node.tag in ("article", "main") for p in ancestors(node)}
+    if not holds_article:
+        holds_article = {node for node in holding_most(page) if not node.hidden and node.tag not in NO_TEXT_TAGS}
     dropped: set[Node] = set()
     for node in page.nodes:  # parents come first
         if node.parent in dropped or node not in holds_article and no_text(node):
@@ -152,9 +176,11 @@ def content(page: Page, reference: tuple | None, template: set[tuple[int, int]],
     numbers = align(page.skeleton, reference) if reference is not None else {}
     varying = [b for b in kept if (numbers.get(b[0].index), digest(b[1])) not in template]
     kept = varying or kept
-    for tag in ("article", "main"):
-        if inside := [b for b in kept if b[0].tag == tag or any(p.tag == tag for p in ancestors(b[0]))]:
-            return "\n\n".join(text for _, text, _ in inside)
+    of = lambda tag: [b for b in kept if b[0].tag == tag or any(p.tag == tag for p in ancestors(b[0]))]
+    amount = lambda blocks: sum(len(text) for _, text, _ in blocks)
+    articles, main = of("article"), of("main")
+    if inside := main if amount(articles) < TEASER * amount(main) else articles:
+        return "\n\n".join(text for _, text, _ in inside)
     roots = []
     if reference is not None and slot is not None:
         above = parents(reference)[slot]

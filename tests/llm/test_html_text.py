@@ -93,3 +93,20 @@ def test_repeated_rows_and_clashing_names(spark):
     pages = pages_of(spark, [(1, "http://a/", "<p>x</p>")] * 2).withColumnsRenamed({"page_id": "host", "html": "text"})
     got = html_text.extract(pages, "host", "url", "text")
     assert [(r.host, r.text) for r in got.selectExpr("host", "text").collect()] == [(1, "x")] * 2
+
+
+PARAGRAPHS = "".join(f"<p>Paragraph {k} with running text that goes on for a while.</p>" for k in range(5))
+
+
+@pytest.mark.parametrize("wrapper", ["<div class='page has-sidebar'>", "<div id='search-page'>", "<section class='content with-banner'>"])
+def test_words_of_a_wrapper_do_not_drop_the_page(wrapper):
+    source = f"<body>{wrapper}<div class='nav'><a href=x>Home</a></div>{PARAGRAPHS}<div class='sidebar'>beside it</div></div></body>"
+    text = html_text.content(Page(source), None, set(), None)
+    assert text.count("Paragraph") == 5 and "Home" not in text and "beside" not in text
+
+
+def test_teasers_inside_main_are_not_the_article():
+    teaser = "<article><h3>Another one</h3><p>Short.</p></article>"
+    assert html_text.content(Page(f"<main>{PARAGRAPHS}{teaser}</main>"), None, set(), None).count("Paragraph") == 5
+    inside = html_text.content(Page(f"<main><p>lead</p><article>{PARAGRAPHS}</article></main>"), None, set(), None)
+    assert inside.count("Paragraph") == 5
