@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from boxlore.functions.text import file_name, receiver_of_path
-from boxlore.operators import anomaly, classify, enrich, extras, gather, mutual_info, parse, report, sessions, significance, store
+from boxlore.operators import anomaly, classify, enrich, extras, gather, mutual_info, network, parse, report, sessions, significance, store
 from boxlore.plans.ordered import SEGMENT
 from boxlore.session import cut_lineage
 from boxlore.sources import files as file_source
@@ -152,9 +152,25 @@ def enrich_stored(spark: SparkSession, root: str, receiver: str | None = None, s
 # --- anomalies ------------------------------------------------------------------------------
 
 
-def score(logs: DataFrame, materialize: bool = True) -> DataFrame:
-    """Rows with sequence and reconstruction scores."""
-    seq = anomaly.score_sequences(logs, materialize=materialize)
+def _forecaster_path(root: str) -> str:
+    return classify.model_path(f"{root}/models", "sequence", length=anomaly.SEQUENCE, hidden=16)
+
+
+def train_forecaster(logs: DataFrame, root: str, **training) -> network.Trained:
+    """Fit the recurrent forecaster on the known-good rows and save it under ``root``."""
+    model = anomaly.fit_recurrent(logs.where("dataset = 'good'"), hidden=16, **training)
+    model.save(logs.sparkSession, _forecaster_path(root))
+    return model
+
+
+def saved_forecaster(spark: SparkSession, root: str) -> network.Trained | None:
+    path = _forecaster_path(root)
+    return network.load(spark, path) if folders.filled(spark, path) else None
+
+
+def score(logs: DataFrame, materialize: bool = True, forecaster: network.Trained | None = None) -> DataFrame:
+    """Rows with sequence and reconstruction scores; without a forecaster each row is forecast as a mean."""
+    seq = anomaly.score_recurrent(forecaster, logs) if forecaster else anomaly.score_sequences(logs, materialize=materialize)
     recon = anomaly.reconstruction_scores(
         logs.select("rxid", "id", anomaly.data_length().cast("double").alias("_len")).where("id IS NOT NULL"), ["_len"])
     rows = anomaly.attach_scores(logs, seq.drop("timestamp", "data", "data_len", "delta_s"))
@@ -183,6 +199,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--source", help="folder of log files (ingest)")
     parser.add_argument("--year", type=int, help="year of stamps that have none (ingest)")
     parser.add_argument("--good", action="store_true", help="the files are known to be good")
+    parser.add_argument("--forecast", action="store_true", help="train the sequence forecaster on known-good rows, too")
     parser.add_argument("--receiver", help="only this receiver")
     parser.add_argument("--start")
     parser.add_argument("--end")
@@ -193,9 +210,12 @@ def main(argv: list[str] | None = None) -> None:
         ingest(spark, args.source, args.root, args.year, "good" if args.good else "main")
         return
     if args.job == "train":
-        _, config = train(read_stored(spark, args.root, args.receiver, args.start, args.end), args.root, args.model)
+        logs = read_stored(spark, args.root, args.receiver, args.start, args.end)
+        if args.forecast:
+            train_forecaster(logs, args.root)
+        _, config = train(logs, args.root, args.model)
         print(json.dumps(config, indent=2))
     elif args.job == "enrich":
         enrich_stored(spark, args.root, args.receiver, args.start, args.end)
     else:
-        publish(score(tables.read_latest(spark, f"{args.root}/enriched")), args.root)
+        publish(score(tables.read_latest(spark, f"{args.root}/enriched"), forecaster=saved_forecaster(spark, args.root)), args.root)
