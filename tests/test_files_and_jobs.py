@@ -298,6 +298,10 @@ def test_train_enrich_score_publish(spark, tmp_path):
     jobs.publish(jobs.score(enriched), root)
     assert tables.read_latest(spark, f"{root}/anomalies").where("table_name = rxid").count() > 0
     assert tables.read_latest(spark, f"{root}/row_counts").agg(F.sum("row_count")).first()[0] == rows.count()
+    assert jobs.saved_forecaster(spark, root) is None
+    jobs.train_forecaster(rows, root, epochs=1, steps=1)
+    with_forecast = jobs.score(enriched, forecaster=jobs.saved_forecaster(spark, root))
+    assert with_forecast.where("seq_score IS NOT NULL").count() == jobs.score(enriched).where("seq_score IS NOT NULL").count()
     jobs.publish(jobs.score(enriched, materialize=False), root)
     assert tables._versions(spark, f"{root}/anomalies") == [1, 2]
 
