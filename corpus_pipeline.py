@@ -2,7 +2,8 @@
 
 Each stage takes what the one before kept, whole, and its decisions take effect: rejected
 documents go, of equal and of similar documents one stays, repeated passages are cut out
-of the texts, and what is left is packed.  Columns beyond those of documents pass through.
+of the texts, and what is left is packed.  Columns beyond those of documents pass through all
+stages but packing, which keeps the id and the pieces.
 """
 
 from __future__ import annotations
