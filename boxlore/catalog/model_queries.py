@@ -60,7 +60,7 @@ def _(spark, sf):
 
 
 _GLOBAL = f"""l AS (SELECT *, CASE WHEN kind = 0 THEN NULL ELSE directory_file END AS f FROM logs WHERE event_type IS NOT NULL),
-{_mi_sql('', {'category': 'category', 'f': "coalesce(left(f, 10000), 'None')", 'data': 'left(data, 10000)', 'one': "'x'"}, 'l', 'event_type')}"""
+{_mi_sql('', {'category': 'category', 'f': "coalesce(f, 'None')", 'data': 'data', 'one': "'x'"}, 'l', 'event_type')}"""
 
 
 def _global(spark, sf):
