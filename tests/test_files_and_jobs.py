@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxlore import jobs
+from boxlore.catalog.views import log_columns
 from boxlore.operators import classify, sessions
 from boxlore.sources import files, jdbc, registry, tables
 from boxlore.streaming import counts as count_stream
@@ -260,6 +261,32 @@ def test_pieces_and_state_of_a_session():
     assert send(row(9_000_000, True), row(9_500_000, True)) == [(2, "marker", 1), (3, "marker", 0)] and held.timers == [19_500]
 
 
+def test_streamed_sessions_open_few_state_partitions(spark, tmp_path):
+    """Partitions of the state as asked for, two a core otherwise, whatever the session shuffles into; its setting stays."""
+    key, events = "spark.sql.shuffle.partitions", spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(300)
+    path, before = str(tmp_path / "rows"), spark.conf.get(key)
+    log_columns(events).coalesce(1).write.parquet(path)
+    for given, want in ((3, 3), (None, 2 * spark.sparkContext.defaultParallelism)):
+        spark.conf.set(key, "37")
+        try:
+            stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+            query = session_stream.start_sessions(stream, str(tmp_path / f"out{want}"), str(tmp_path / f"cp{want}"), 60, partitions=given, groups=2)
+            query.awaitTermination(120)
+            assert query.exception() is None and spark.conf.get(key) == "37"
+        finally:
+            spark.conf.set(key, before)
+        assert len([x for x in (tmp_path / f"cp{want}" / "state" / "0").iterdir() if x.name.isdigit()]) == want
+
+
+def test_a_receiver_without_ended_session_makes_no_frame():
+    import pandas as pd
+
+    state = session_stream.OpenSessions(None)
+    state.state = type("Held", (), {"get": lambda self: None, "exists": lambda self: False, "update": lambda self, value: None})()
+    row = {"rxid": "a", "id": 1, "slice": 1, "us": 1, "is_marker": False, "svc_name": None, "video_resolution": None, **dict.fromkeys(session_stream.SUMS, 0)}
+    assert list(state.handleInputRows(("a",), iter([session_stream.pieces_of(pd.DataFrame([row]))]), None)) == []
+
+
 def test_streamed_counts_equal_batch(spark, tmp_path):
     rows, path = _parts(spark, tmp_path, 2)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
