@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from boxlore.llm.common import small_batches, written
+from boxlore.llm.common import Workspace, small_batches, written
 from boxlore.llm.components import components
 
 WORDS = 5
@@ -111,12 +111,18 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def classes_left(described: DataFrame) -> DataFrame:
-    """(class, c, id): the classes that may have a partner, with a number and their smallest id."""
-    rows = described.where("n > 0 AND id IS NOT NULL").select("id", "class", "need", F.explode("first").alias("shingle"))
-    shared = written(rows.groupBy("shingle").count().where("count > 1").select("shingle"), "shared-shingles")
-    enough = rows.join(shared, "shingle").groupBy("id", "class", "need").count().where("count >= need")
-    left = enough.groupBy("class").agg(F.min("id").alias("id"))
-    return written(left.select("class", F.monotonically_increasing_id().alias("c"), "id"), "classes")
+    """(class, c, id): the classes that may have a partner, with a number and their smallest id.
+
+    A shingle travels with the number of its row only; the 128 bits of the class follow for rows with enough."""
+    work = Workspace(described.sparkSession, "screening")
+    rows = described.where("n > 0 AND id IS NOT NULL")
+    held = rows.select("row", "need", F.explode("first").alias("shingle"))
+    shared = work.written(held.groupBy("shingle").count().where("count > 1").select("shingle"), "shared-shingles")
+    enough = held.join(shared, "shingle").groupBy("row", "need").count().where("count >= need").select("row")
+    left = rows.select("row", "class", "id").join(work.written(enough, "rows"), "row").groupBy("class").agg(F.min("id").alias("id"))
+    classes = written(left.select("class", F.monotonically_increasing_id().alias("c"), "id"), "classes")
+    work.drop()
+    return classes
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, key: str, text: str) -> DataFrame:
@@ -135,7 +141,10 @@ def sets_of(docs: DataFrame, classes: DataFrame, key: str, text: str) -> DataFra
 
     picked = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     found = picked.join(classes, "id").select("c", "class", "text")
-    return written(found.mapInArrow(work, "c long, n long, shingles array<long>").dropDuplicates(["c"]), "shingle-sets")
+    sets = written(found.mapInArrow(work, "c long, n long, shingles array<long>"), "shingle-sets")
+    # rows that repeat an id may give a set twice; only then do sets move to drop one
+    once = sets.groupBy("c").count().where("count > 1").isEmpty()
+    return sets if once else written(sets.dropDuplicates(["c"]), "shingle-sets")
 
 
 def prefixes(sets: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -179,9 +188,12 @@ def ordered_prefixes(sets: DataFrame) -> DataFrame:
         counts = np.concatenate([counts, np.array([n for _, n in items], np.int64)])
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
-    rows = written(prefixes(sets, (keys, counts)), "prefixes")
-    repeated = written(rows.groupBy("shingle").count().where("count > 1").select("shingle"), "repeated-shingles")
-    return written(rows.join(repeated, "shingle"), "shared-prefixes")
+    work = Workspace(sets.sparkSession, "prefixes")
+    rows = work.written(prefixes(sets, (keys, counts)), "all")
+    repeated = work.written(rows.groupBy("shingle").count().where("count > 1").select("shingle"), "repeated-shingles")
+    shared = written(rows.join(repeated, "shingle"), "shared-prefixes")
+    work.drop()
+    return shared
 
 
 def can_link(x: str, y: str) -> str:
@@ -203,33 +215,42 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Verified links that connect whatever has a chain of links."""
-    pairs = lambda found: found.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
-    centre = written(rows.groupBy("shingle").agg(F.min(F.struct("at", "c", "n")).alias("x")).select("shingle", "x.*"), "centres")
+    """Verified links that connect whatever has a chain of links.
+
+    Pairs are written before their sets are fetched: where they are few, the sets stay where they are."""
+    work = Workspace(rows.sparkSession, "link-work")
+    pairs = lambda found, name: work.written(
+        found.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct(), name)
+    centre = work.written(rows.groupBy("shingle").agg(F.min(F.struct("at", "c", "n")).alias("x")).select("shingle", "x.*"), "centres")
     stars = rows.alias("r").join(centre.alias("x"), "shingle").where(F.expr("r.c != x.c AND " + can_link("r", "x")))
-    first = written(verified(pairs(stars.select(F.col("r.c").alias("c"), F.col("x.c").alias("d"))), sets), "star-links")
-    part = written(components(first).withColumnsRenamed({"node": "c", "component": "part"}), "parts")
+    first = work.written(verified(pairs(stars.select(F.col("r.c").alias("c"), F.col("x.c").alias("d")), "star-pairs"), sets), "star-links")
+    part = components(first).withColumnsRenamed({"node": "c", "component": "part"})
     marked = rows.join(part, "c", "left").withColumn("part", F.coalesce("part", "c"))
-    marked = written(marked, "marked-prefixes")
+    marked = work.written(marked, "marked-prefixes")
     main = marked.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct("at", "c", "part"))["part"].alias("main"))
-    main = written(main.where("low != high").select("shingle", "main"), "mixed-groups")
-    mixed = written(marked.join(main, "shingle"), "mixed-prefixes")
+    main = work.written(main.where("low != high").select("shingle", "main"), "mixed-groups")
+    mixed = work.written(marked.join(main, "shingle"), "mixed-prefixes")
     crossing = mixed.where("part != main").alias("x").join(mixed.alias("y"), "shingle").where(
         F.expr("x.part != y.part AND (y.part = y.main OR x.c < y.c) AND " + can_link("x", "y")))
-    second = verified(pairs(crossing.select(F.col("x.c").alias("c"), F.col("y.c").alias("d"))), sets)
-    return first.union(second)
+    second = verified(pairs(crossing.select(F.col("x.c").alias("c"), F.col("y.c").alias("d")), "crossing-pairs"), sets)
+    found = written(first.union(second), "verified-links")
+    work.drop()
+    return found
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id (the smallest id reachable by links)."""
-    described = written(describe(docs, key, text), "described")
-    classes = classes_left(described)
+    work = Workspace(docs.sparkSession, "described")
+    wide = work.written(describe(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "rows")
+    classes = classes_left(wide)
+    described = written(wide.select("id", "n", "class"), "described")
+    work.drop()
     sets = sets_of(docs, classes, key, text)
     part = components(links(ordered_prefixes(sets), sets)).withColumnsRenamed({"node": "c", "component": "part"})
     placed = written(classes.join(part, "c", "left").withColumn("part", F.coalesce("part", "c")), "placed-classes")
     smallest = placed.groupBy("part").agg(F.min("id").alias("component_id"))
     found = written(placed.join(smallest, "part").select("class", "component_id"), "class-components")
-    rows = described.select("id", "n", "class").join(found, "class", "left")
+    rows = described.join(found, "class", "left")
     return rows.select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),

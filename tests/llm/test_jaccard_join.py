@@ -111,3 +111,18 @@ def test_components(spark):
     got = components(spark.createDataFrame(pairs, "a long, b long")).collect()
     linked = {k for a, b in pairs if a != b for k in (a, b)}
     assert sorted(map(tuple, got)) == sorted((k, root[k]) for k in linked)
+
+
+def test_tables_of_finished_steps_are_removed(spark, tmp_path):
+    """What a step needs alone goes when its result is written; repeated ids give each set once all the same."""
+    import os
+
+    folder, a = spark.conf.get("spark.checkpoint.dir"), " ".join(f"w{k}" for k in range(40))
+    docs = docs_of(spark, [a, a + " x", a, "other text of six words here"])
+    docs = docs.union(docs.where("doc_id = 1"))
+    before = set(os.listdir(folder))
+    got = sorted((r.doc_id, r.component_id) for r in jaccard_join.join(docs).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+    left = sorted(name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before)
+    gone = ["screening", "prefixes", "link-work", "links", "stars", "large-star", "small-star", "star-links", "marked-prefixes", "shared-shingles"]
+    assert not set(left) & set(gone), left
