@@ -12,7 +12,7 @@ from boxlore.catalog.views import lines, logs
 from boxlore.functions.text import receiver_of_path
 from boxlore.operators import extras, store
 from boxlore.session import checkpoint_dir
-from boxlore.sources import files, hash_index, tables
+from boxlore.sources import files, hash_index, tables, text_files
 
 YEAR = 2024
 
@@ -23,8 +23,7 @@ def fresh_folder(spark, name: str) -> str:
 
 def write_text(rows, text: str, folder: str, end: str = "\n") -> str:
     """One file of lines per receiver (``rxid``), in the order of ``id``."""
-    sorted_rows = rows.select("rxid", "id", F.col(text).alias("value")).repartition("rxid").sortWithinPartitions("rxid", "id")
-    sorted_rows.select("rxid", "value").write.partitionBy("rxid").option("lineSep", end).text(folder)
+    text_files.write_files(rows, "rxid", ["id"], text, folder, end)
     return folder
 
 
@@ -37,7 +36,7 @@ def _(spark, sf):
     rows = logs(spark, sf)
     end = F.when(F.col("id") % 2 == 0, "\u2028").otherwise("\r")
     folder = write_text(rows.withColumn("text", F.concat("data", end, F.lit("R"), F.col("id").cast("string"))), "text", fresh_folder(spark, "files"))
-    cut = files.cut_lines(files.raw_lines(spark, folder))
+    cut = files.stored_lines(files.cut_lines(files.raw_lines(spark, folder)), fresh_folder(spark, "lines"))
     placed = files.placed_blocks(files.summed_blocks(cut))
     return files.numbered_lines(cut, placed).select(receiver_of_path(F.col("path")).alias("rxid"), "line_no", "line")
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 SEGMENT = "_segment"
+#: where it is known, the number of segments of a key: a key of one segment needs no summary
+SEGMENTS = "_segments"
 #: Ten minutes: a receiver that writes 10,000 rows a second fills a segment with
 #: six million rows, which one task sorts (and spills) without trouble.
 SLICE_SECONDS = 600

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from boxlore.functions import fixed_values as fixed, rolling_hash
 from boxlore.functions.text import file_name
-from boxlore.plans.ordered import SEGMENT
+from boxlore.plans.ordered import SEGMENT, SEGMENTS
 
 
 def valid_text(text: Column) -> Column:
@@ -63,6 +63,13 @@ def cut_lines(raw: DataFrame) -> DataFrame:
         "path", SEGMENT, F.monotonically_increasing_id().alias("_at"), "line")
 
 
+def stored_lines(lines: DataFrame, folder: str) -> DataFrame:
+    """The lines of ``cut_lines`` as a table in ``folder``, for steps that read them more than once:
+    to open a small file takes longer than to read its lines."""
+    lines.repartition("path", SEGMENT).write.parquet(folder)
+    return lines.sparkSession.read.schema(lines.schema).parquet(folder)
+
+
 _PLACE = (1 << 33) - 1  # the bits of _at that count the rows of a task
 
 
@@ -78,9 +85,10 @@ def summed_blocks(lines: DataFrame) -> DataFrame:
 
 
 def placed_blocks(blocks: DataFrame) -> DataFrame:
-    """Blocks with the number of lines of the file before them (``before``)."""
+    """Blocks with the number of lines of the file before them (``before``) and of its blocks (``_segments``)."""
     before = W.partitionBy("path").orderBy(SEGMENT).rowsBetween(W.unboundedPreceding, -1)
-    return blocks.withColumn("before", F.coalesce(F.sum("line_count").over(before), F.lit(0)))
+    return blocks.withColumn("before", F.coalesce(F.sum("line_count").over(before), F.lit(0))).withColumn(
+        SEGMENTS, F.count("*").over(W.partitionBy("path")))
 
 
 def files_of(placed: DataFrame) -> DataFrame:
@@ -99,9 +107,11 @@ def numbered_lines(lines: DataFrame, placed: DataFrame) -> DataFrame:
     """(path, file_name, _segment, line_no, line) of the blocks in ``placed``, and its further columns."""
     known = ["path", SEGMENT, "first_at", "line_count", "first_line", "before", *[f"sum_{k}" for k in range(len(rolling_hash.MODULI))]]
     extra = [c for c in placed.columns if c not in known]
-    joined = lines.join(placed.select("path", SEGMENT, "first_at", "before", *extra), ["path", SEGMENT])
+    # a block is one row beside its lines, so the blocks of a task are hashed and its lines needn't be sorted
+    blocks = placed.select("path", SEGMENT, "first_at", "before", file_name(F.col("path")).alias("file_name"), *extra)
+    joined = lines.join(blocks.hint("shuffle_hash"), ["path", SEGMENT])
     number = (F.col("before") + F.col("_at") - F.col("first_at")).cast("bigint")
-    return joined.select("path", file_name(F.col("path")).alias("file_name"), SEGMENT, number.alias("line_no"), "line", *extra)
+    return joined.select("path", "file_name", SEGMENT, number.alias("line_no"), "line", *extra)
 
 
 def inventory(spark: SparkSession, root: str, excludes: list[str] | None = None,

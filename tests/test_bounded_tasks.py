@@ -2,10 +2,13 @@
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from boxlore.operators import classify, topics
+from boxlore import jobs
+from boxlore.operators import classify, parse, topics
+from boxlore.sources import files, text_files
 from boxlore.sources.tables import spread
 
 
@@ -58,3 +61,17 @@ def test_coherence_reads_the_texts_once(spark):
     assert "array_intersect" not in _plan(out)
     got = {r["topic"]: round(r["coherence"], 6) for r in out.collect()}
     assert got == {0: round(math.log(2 * 4 / (3 * 2)) / -math.log(2 / 4), 6), 1: -1.0}
+
+
+def test_files_are_dealt_into_folders(spark, tmp_path, monkeypatch):
+    """No folder per file; paths sort like names, null lines are empty, null names share a file."""
+    monkeypatch.setattr(text_files, "FOLDER_FILES", 10)
+    rows = [(f"R{n:010d}", k, None if k == 1 else f"line {n} {k}  ") for n in range(100) for k in (2, 0, 1)] + [(None, 5, "x"), (None, 4, "y")]
+    df = spark.createDataFrame(rows, "rxid string, id long, text string")
+    assert text_files.write_files(df, "rxid", ["id"], "text", f"file://{tmp_path}/a", "\r\n") == 101
+    found = sorted((tmp_path / "a").rglob("*.*"))
+    assert [f.name for f in found] == [f"rxid=R{n:010d}.txt" for n in range(100)] + [f"rxid={text_files.NO_NAME}.txt"]
+    assert len({f.parent for f in found}) <= 20 and max(Counter(f.parent for f in found).values()) <= 10
+    assert found[7].read_bytes() == "line 7 0  \r\n\r\nline 7 2  \r\n".encode() and found[-1].read_bytes() == b"y\r\nx\r\n"
+    assert text_files.write_files(df.where("false"), "rxid", ["id"], "text", str(tmp_path / "b")) == 0
+    assert files.raw_lines(spark, str(tmp_path / "b")).count() == 0
