@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boxlore.functions.text import file_name, receiver_of_path
+from boxlore.functions.text import receiver_of_path
 from boxlore.operators import anomaly, classify, enrich, extras, gather, mutual_info, network, parse, report, sessions, significance, store
 from boxlore.plans.ordered import SEGMENT
-from boxlore.session import cut_lineage
+from boxlore.session import checkpoint_dir, cut_lineage
 from boxlore.sources import files as file_source
 from boxlore.sources import folders, hash_index, registry, tables
 
@@ -32,12 +33,18 @@ def parse_files(lines: DataFrame, reference_year: int) -> DataFrame:
     ])
 
 
-def log_rows(parsed: DataFrame, dataset: str) -> DataFrame:
-    """Parsed rows with receiver, source table, hash, id and data set."""
+def provenance(files: DataFrame) -> DataFrame:
+    """(path, format, source_table, rxid, rxid2) of files: what all rows of a file share is cut out of its path once."""
     path = F.col("path")
-    rows = store.fill_in(parsed, file_name(path))
-    rows = rows.withColumn("source_table", store.source_table(receiver_of_path(path), path))
-    rows = store.with_provenance(rows, F.col("source_table"))
+    named = files.select(
+        "path", parse.file_format(F.col("first_line"), F.col("file_name")).alias("format"),
+        store.source_table(receiver_of_path(path), path).alias("source_table"))
+    return store.with_provenance(named, F.col("source_table"))
+
+
+def log_rows(parsed: DataFrame, dataset: str) -> DataFrame:
+    """Parsed rows, which have the provenance of their file, with hash, id and data set."""
+    rows = store.fill_in(parsed, F.col("file_name"))
     # unique, and in line order within a file, so that rows of one stamp keep their order
     row_id = F.concat(F.md5("path"), F.lit("-"), F.lpad(F.coalesce("line_no", F.lit(0)).cast("string"), 12, "0"))
     rows = rows.withColumns({"id": row_id, "dataset": F.lit(dataset)})
@@ -55,25 +62,33 @@ def store_lines(raw: DataFrame, root: str, reference_year: int, dataset: str = "
                 groups: int = tables.GROUPS) -> None:
     """Store the new rows of the new files among ``raw`` text rows, then note the files as imported.
 
-    The text is read twice: once to sum up its blocks (line counts, hashes, first lines) and
-    once to parse the files whose content is new.  What is stored already is asked of an index
+    The text is read once and its lines are written to a table in the shared folder, which
+    is read twice: to sum up the blocks (line counts, hashes, first lines) and to parse the files whose
+    content is new.  What is stored already is asked of an index
     beside the table.  The rows of a batch are in a folder of their own, so a batch that is
     repeated after a crash replaces its rows; its keys are learned next, its files noted last."""
     spark = raw.sparkSession
     index = hash_index.open_index(spark, f"{root}/messages_by_{dedupe}", store.dedupe_keys(dedupe), groups)
     index.recover(f"{root}/logs")
-    lines = file_source.cut_lines(raw)
+    folder = f"{checkpoint_dir(spark)}/lines/{uuid.uuid4().hex}"
+    try:
+        _store_cut(file_source.stored_lines(file_source.cut_lines(raw), folder), index, root, reference_year, dataset, dedupe, groups)
+    finally:
+        folders.remove(spark, folder)
+
+
+def _store_cut(lines: DataFrame, index: hash_index.HashIndex, root: str, reference_year: int, dataset: str, dedupe: str, groups: int) -> None:
+    spark = lines.sparkSession
     placed = cut_lineage(file_source.placed_blocks(file_source.summed_blocks(lines)))
     files, known = file_source.files_of(placed), _read_if_any(spark, f"{root}/imports")
     fresh = cut_lineage(registry.new_files(files, known))
     batch = batch_name(fresh)
     if batch is None:
         return
-    fresh_blocks = placed.join(
-        fresh.select("path", parse.file_format(F.col("first_line"), F.col("file_name")).alias("format")), "path")
-    numbered = file_source.numbered_lines(lines, fresh_blocks)
+    numbered = file_source.numbered_lines(lines, cut_lineage(placed.join(provenance(fresh), "path")))
     keys = extras.read_promoted(spark, f"{root}/promoted_keys")
-    rows = cut_lineage(store.dedupe(extras.promoted(log_rows(parse_files(numbered, reference_year), dataset), keys), how=dedupe))
+    parsed = parse_files(numbered, reference_year)
+    rows = cut_lineage(store.dedupe(extras.promoted(log_rows(parsed, dataset), keys), how=dedupe))
     tables.write_logs(index.unseen(rows, batch), f"{root}/logs/batch={batch}", "overwrite", groups)
     stored = _read_if_any(spark, f"{root}/logs/batch={batch}")
     if stored is not None:

@@ -9,7 +9,7 @@ from boxlore.functions.message_fields import details_map, epg_event
 from boxlore.functions.text import split_groups
 from boxlore.functions.timestamps import clock_micros, instant, iso_text, to_utc
 from boxlore.operators.extras import packed, pairs_of
-from boxlore.plans.ordered import SEGMENT, running_count
+from boxlore.plans.ordered import SEGMENT, SEGMENTS, running_count
 
 Rules = dict[str, tuple[str, list[str]]]
 
@@ -64,14 +64,18 @@ def _carry(df: DataFrame) -> DataFrame:
 
     A carried date never changes what later lines carry, so two windows do: the
     last date, then the last stamp.  Lines of a large file come in segments; one
-    summary row per segment brings both into the next ones."""
+    summary row per segment brings both into the next ones.  The clock of a line counts
+    only where its stamp could not be read."""
     segmented = SEGMENT in df.columns
-    keys = ["path", SEGMENT] if segmented else ["path"]
+    # with their number among the keys, files of one segment are left out before their lines are read for the summaries
+    keys = [c for c in ("path", SEGMENT, SEGMENTS) if c in df.columns]
     before = W.partitionBy(*keys).orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    df = df.withColumn("_date", F.last("_read", True).over(before)).withColumn("_clock", clock_micros(F.col("line")))
+    clock = F.when(F.col("_read").isNull(), clock_micros(F.col("line")))
+    df = df.withColumn("_date", F.last("_read", True).over(before)).withColumn("_clock", clock)
     on_day = lambda date, clock: F.timestamp_micros(F.unix_micros(F.date_trunc("day", date)) + clock)
     if segmented:
-        df = df.join(_segment_ends(df, on_day), keys).withColumn("_date", F.coalesce("_date", "_carried_date"))
+        several = df.where(F.col(SEGMENTS) > 1) if SEGMENTS in df.columns else df
+        df = df.join(_segment_ends(several, keys, on_day), keys, "left").withColumn("_date", F.coalesce("_date", "_carried_date"))
     df = df.withColumn("_own", F.coalesce("_read", on_day(F.col("_date"), F.col("_clock"))))
     previous = F.last("_own", True).over(before)
     if segmented:
@@ -81,10 +85,10 @@ def _carry(df: DataFrame) -> DataFrame:
     })
 
 
-def _segment_ends(df: DataFrame, on_day) -> DataFrame:
+def _segment_ends(df: DataFrame, keys: list[str], on_day) -> DataFrame:
     """Per segment the last date and the last stamp of the segments before it."""
     read, timed = F.col("_read").isNotNull(), F.col("_read").isNotNull() | F.col("_clock").isNotNull()
-    ends = df.groupBy("path", SEGMENT).agg(
+    ends = df.groupBy(*keys).agg(
         F.max_by("_read", F.when(read, F.col("line_no"))).alias("_end_read"),
         F.max_by(F.struct("_read", "_date", "_clock"), F.when(timed, F.col("line_no"))).alias("_end"),
     )
@@ -92,7 +96,7 @@ def _segment_ends(df: DataFrame, on_day) -> DataFrame:
     ends = ends.withColumn("_carried_date", F.last("_end_read", True).over(before))
     stamp = F.coalesce("_end._read", on_day(F.coalesce("_end._date", "_carried_date"), F.col("_end._clock")))
     ends = ends.withColumn("_stamp", stamp).withColumn("_carried_stamp", F.last("_stamp", True).over(before))
-    return ends.select("path", SEGMENT, "_carried_date", "_carried_stamp")
+    return ends.select(*keys, "_carried_date", "_carried_stamp")
 
 
 def parse_lines(lines: DataFrame, reference_year: int, rules: Rules | None = None) -> DataFrame:
@@ -102,7 +106,7 @@ def parse_lines(lines: DataFrame, reference_year: int, rules: Rules | None = Non
     with ``stamp`` as the column of the time text.  Groups that name no column of the table
     go, like the pairs of the details, into ``extras``."""
     rules = fixed.LINE_RULES if rules is None else rules
-    keep = [c for c in lines.columns if c not in ("path", "line_no", "line", SEGMENT)]
+    keep = [c for c in lines.columns if c not in ("path", "line_no", "line", SEGMENT, SEGMENTS)]
     df = _matched(lines, rules)
     names = list(dict.fromkeys(c for _, columns in rules.values() for c in columns))
     df = df.withColumns({c: _group(rules, c) for c in names})
@@ -128,7 +132,7 @@ def parse_lines(lines: DataFrame, reference_year: int, rules: Rules | None = Non
 
 def parse_var(lines: DataFrame) -> DataFrame:
     """``stamp pid tid I VAR - channel: key: value`` lines; others are skipped."""
-    keep = [c for c in lines.columns if c not in ("path", "line_no", "line", SEGMENT)]
+    keep = [c for c in lines.columns if c not in ("path", "line_no", "line", SEGMENT, SEGMENTS)]
     text = lines.withColumn("line", F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")))
     df = text.where(F.col("line").rlike(fixed.VAR_LINE)).withColumn("_p", split_groups(F.col("line"), fixed.VAR_LINE, 5))
     rest = F.trim(F.col("_p")[4])
@@ -159,10 +163,11 @@ def trap_blocks(files: DataFrame) -> DataFrame:
 
 
 def trap_blocks_of_lines(lines: DataFrame) -> DataFrame:
-    """The same blocks from the lines of a large file; one block meets in one task."""
+    """The same blocks from the lines of a large file, with the further columns of the file; one block meets in one task."""
+    rest = [c for c in lines.columns if c not in ("path", "line_no", "line", SEGMENT, SEGMENTS)]
     header = F.col("line").rlike(fixed.KTRAP_HEADER)
     numbered = running_count(lines, ["path"], ["line_no"], header, "_block").where(~header)
-    texts = numbered.groupBy("path", "_block").agg(
+    texts = numbered.groupBy("path", *rest, "_block").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("data")
     )
     trimmed = texts.withColumn("data", F.regexp_replace("data", r"^\s+|\s+$", "")).where("data <> ''")

@@ -75,3 +75,33 @@ def test_files_are_dealt_into_folders(spark, tmp_path, monkeypatch):
     assert found[7].read_bytes() == "line 7 0  \r\n\r\nline 7 2  \r\n".encode() and found[-1].read_bytes() == b"y\r\nx\r\n"
     assert text_files.write_files(df.where("false"), "rxid", ["id"], "text", str(tmp_path / "b")) == 0
     assert files.raw_lines(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_ingest_reads_the_text_once(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"R000000000{n}_nal.log").write_text("".join(f"01/15/2025 05:11:{k:02d} line {n} {k}\n" for k in range(20)))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(value):
+        read.add(1)
+        return value
+
+    raw = files.raw_lines(spark, str(tmp_path / "in"))
+    raw = raw.withColumn("value", F.udf(counted, "string").asNondeterministic()("value"))
+    jobs.store_lines(raw, str(tmp_path / "store"), 2025)
+    got = spark.read.parquet(str(tmp_path / "store" / "logs"))
+    assert got.count() == 60 and {r[0] for r in got.select("source_table").distinct().collect()} == {
+        f"R000000000{n}_R000000000{n}_nal" for n in range(3)}
+    assert read.value == 60
+
+
+def test_files_of_one_block_need_no_summaries(spark):
+    """Dates are carried into the later blocks of a file; a file of one block carries its own."""
+    text = ["no stamp", "01/15/2025 05:11:00 a", "99/99/2024 06:00:00 b", "[x]<99/99/2024 07:00:00> c", "01/16/2025 05:11:00 d", "99/99/2024 08:00:00 e"]
+    rows = [(path, k, line, k // size, -(-len(text) // size)) for path, size in (("/a", 6), ("/b", 2), ("/c", 1)) for k, line in enumerate(text)]
+    df = spark.createDataFrame(rows, "path string, line_no long, line string, _segment long, _segments long")
+    pick = ["path", "line_no", "timestamp", "timestamp_imputed", "data"]
+    want = sorted(map(str, parse.parse_lines(df.drop("_segment", "_segments"), 2025).select(*pick).collect()))
+    assert sorted(map(str, parse.parse_lines(df, 2025).select(*pick).collect())) == want and len(want) == 15
+    assert sorted(map(str, parse.parse_lines(df.drop("_segments"), 2025).select(*pick).collect())) == want
