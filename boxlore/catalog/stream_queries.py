@@ -41,6 +41,7 @@ def _(spark, sf):
 
 
 _BATCHES, _DAYS, _TIMEOUT = 5, 6, 40_000
+_FILE_ROWS = 100_000  # rows of a file of the input
 _START = 1704067200  # 2024-01-01 in seconds
 
 
@@ -52,10 +53,14 @@ def _in_batches(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
     days = F.floor((F.unix_seconds("timestamp") - _START) / (_DAYS * 86400)) + F.when(F.col("id") % 40 == 7, 1).otherwise(0)
     rows = views.logs(spark, sf).withColumns({
         "batch": F.least(F.lit(_BATCHES - 1), days), "rxid": F.concat("rxid", F.lit("-"), (F.col("id") % 20).cast("string"))})
+    largest = rows.where(F.col("batch") >= 0).groupBy("batch").count().agg(F.max("count")).first()[0] or 0
+    files, schema = max(1, -(-largest // _FILE_ROWS)), rows.drop("batch").schema
     for batch in range(_BATCHES):
-        rows.where(F.col("batch") == batch).drop("batch").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    schema = rows.drop("batch").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
+        rows.where(F.col("batch") == batch).drop("batch").repartition(files).write.mode("append").parquet(f"{folder}/in")
+        # each batch has as many files as a trigger takes: a task without rows may have written none
+        for _ in range(files * (batch + 1) - len(spark.read.schema(schema).parquet(f"{folder}/in").inputFiles())):
+            spark.createDataFrame([], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in"), folder
 
 
 @query("stream_sessions_in_batches", f"""
